@@ -26,15 +26,16 @@ def resolve_account(files: DataFrame, accounts: DataFrame) -> DataFrame:
     of the lengths account names have (a bounded set), and those meet the accounts in an
     equality join. ``accounts(kind, account, idx)``: ``idx`` breaks length ties.
     """
-    lengths = accounts.agg(F.collect_set(F.length("account"))).scalar()
+    lengths = accounts.agg(F.collect_set(F.length("account")).alias("_lengths"))
     name = F.lower("file_name")
 
     def cuts(n: Column) -> Column:
         starts = F.when(n <= F.length(name), F.sequence(F.lit(1), F.length(name) - n + 1))
         return F.coalesce(F.transform(starts, lambda i: F.substr(name, i, n)), F.array().cast("array<string>"))
 
-    candidates = files.select(
-        "file_id", "kind", F.explode(F.array_distinct(F.flatten(F.transform(lengths, cuts)))).alias("_cut")
+    # One row of lengths beside every file; a scalar subquery cannot stand inside a lambda.
+    candidates = files.crossJoin(lengths).select(
+        "file_id", "kind", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", cuts)))).alias("_cut")
     )
     named = accounts.select("kind", F.lower("account").alias("_cut"), "account", "idx")
     found = (

@@ -101,8 +101,8 @@ def _amount_present(number: Column) -> Column:
 
     short = F.coalesce(whole, two_places)
     return (F.instr(text, short) > 0) & (
-        text.rlike(bounded(two_places, ""))
-        | F.coalesce(text.rlike(bounded(whole, r"(?:\.0+)?")), F.lit(False))
+        F.regexp_like(text, bounded(two_places, ""))
+        | F.coalesce(F.regexp_like(text, bounded(whole, r"(?:\.0+)?")), F.lit(False))
     )
 
 

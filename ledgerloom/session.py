@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,11 +26,17 @@ def local_session(cores: str = "8", app: str = "ledgerloom", memory: str = "8g")
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables, below the folder the cluster names.
 
-    Executors must all reach it, so the cluster's ``spark.checkpoint.dir`` is used;
-    only a session without that setting (local tests) gets a folder of its own.
+    Executors must all reach it, so the cluster's ``spark.checkpoint.dir`` is used; a
+    session without that setting (local tests) writes below its warehouse folder, which
+    every session has and a cluster shares.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, where: str) -> None:
+    """Deletes a folder made by ``shared_folder`` once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
