@@ -183,10 +183,10 @@ def _parsed(t: Inputs):
 
 @query(
     "a10_signed_amount_plain",
-    _STANDARD + "SELECT file_id, row_no, amount FROM out_rows WHERE reject_reason IS NULL AND file_id % 4 = 0",
+    _STANDARD + "SELECT file_id, row_no, amount FROM out_rows WHERE reject_reason IS NULL",
 )
 def _(t: Inputs):
-    good = standardize.accepted(_parsed(t).filter("file_id % 4 = 0"))
+    good = standardize.accepted(_parsed(t))
     return good.select("file_id", "row_no", "amount")
 
 

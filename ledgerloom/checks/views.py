@@ -34,8 +34,7 @@ VIEWS: dict[str, str] = {
                     WHEN 1 THEN upper(p_name) || ' ' || p_type || ' ' || CAST(l_orderkey AS STRING) || ' PAYOUT'
                     ELSE 'UPI-' || p_name || '-' || lpad(CAST(l_orderkey AS STRING), 12, '6') || '-' || p_type END AS description,
                {_AMOUNT} AS amount
-        {_PARTS}
-        WHERE l_suppkey % 4 = 0""",
+        {_PARTS}""",
     "stmt_cells": f"""
         SELECT l_orderkey AS statement_id, l_linenumber AS row_no,
                CASE l_partkey % 3

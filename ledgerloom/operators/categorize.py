@@ -13,7 +13,7 @@ from ledgerloom.operators.category_index import (
     first_seen_key,
     key_answers,
 )
-from ledgerloom.operators.dedup import MAX_COMPILED_RULES, labelled
+from ledgerloom.operators.dedup import labelled
 from ledgerloom.schema import DEFAULT_CATEGORY
 
 # Fixed values shown to the reviewer.
@@ -54,19 +54,8 @@ def rule_category(rules: Sequence[dict]) -> Column:
 
 
 def match_rules(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """Adds ``rule_category``.
-
-    The rule file compiles into one short-circuiting CASE. A very long file is cut into
-    consecutive blocks of columns, so plans stay within code-generation limits; the
-    first block with a hit wins.
-    """
-    blocks = [rules[i : i + MAX_COMPILED_RULES] for i in range(0, len(rules), MAX_COMPILED_RULES)]
-    if len(blocks) <= 1:
-        return df.withColumn("rule_category", rule_category(rules))
-    for i, block in enumerate(blocks):
-        df = df.withColumn(f"_rule_{i}", rule_category(block))
-    names = [f"_rule_{i}" for i in range(len(blocks))]
-    return df.withColumn("rule_category", F.coalesce(*names)).drop(*names)
+    """Adds ``rule_category``. The rule file, of any length, is one short-circuiting CASE."""
+    return df.withColumn("rule_category", rule_category(rules))
 
 
 def vocabulary(history: DataFrame, rules: Sequence[dict]) -> DataFrame:

@@ -30,8 +30,6 @@ SIMILARITY_DIGITS = 12
 EPS = 1e-9
 # Vector lengths are grouped into bands of this many per factor of two.
 BANDS_PER_OCTAVE = 4
-# No vector is longer: 44 (ln of 2^63 rows) times the root of 10^8 tokens.
-MAX_LENGTH = 1e6
 
 
 @dataclass
@@ -353,15 +351,17 @@ def fuzzy_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame
     # The floor is rounded, so it may exceed the true value by half a unit of its last digit.
     unit = 10.0**-SIMILARITY_DIGITS
     longest = F.least(
-        F.lit(MAX_LENGTH),
+        F.col("max_length"),
         F.when(
             F.col("floor") > 2 * unit,
             F.col("reach") / (F.col("q_length") * (F.col("floor") - unit)) * (1 + EPS),
-        ).otherwise(F.lit(MAX_LENGTH)),
+        ).otherwise(F.col("max_length")),
     )
     open_rows = (
         q_rows.join(floor, ["norm", "is_debit"])
+        .crossJoin(docs.agg(F.max("length").alias("max_length")))  # one row
         .withColumn("longest", longest)
+        .drop("max_length")
         .join(beyond, ["is_debit", "token"])
         .filter(F.col("longest") >= F.col("next_length"))
         .withColumn("band", F.explode(F.sequence(_band(F.col("next_length")), _band(F.col("longest")))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +14,6 @@ from ledgerloom.schema import CANONICAL_ORDER, DEFAULT_CATEGORY
 
 KEY_COLUMNS = ["txn_date", "account", "amount", "signature"]
 
-# Compiling more rules than this into one predicate makes plans slow to build.
-MAX_COMPILED_RULES = 200
-
 
 def order_columns(df: DataFrame) -> list[str]:
     return [c for c in CANONICAL_ORDER if c in df.columns]
@@ -70,43 +69,20 @@ def find_new(
     return warm.select(*cold.columns).unionByName(cold).drop("signature")
 
 
-def ignore_condition(rules: Sequence[dict]) -> Column | None:
-    """Row predicate of an ignore list; NULL-free, rules without text never match."""
-    hits = []
-    desc = alnum("description")
-    for rule in rules:
-        wanted = alnum(F.lit(str(rule.get("description_contains", ""))))
-        hit = (wanted != "") & desc.contains(wanted)
-        if rule.get("account"):
-            hit = hit & (F.coalesce(F.col("account"), F.lit("")) == rule["account"])
-        hits.append(hit)
-    if not hits:
-        return None
-    cond = hits[0]
-    for h in hits[1:]:
-        cond = cond | h
-    return cond
-
-
 def drop_ignored(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """Rows no ignore rule matches.
+    """Rows no ignore rule matches; rules without text never match.
 
-    The rule list is a configuration file: a few hundred rules compile into one
-    filter; a longer list becomes a broadcast table of exactly ``len(rules)`` rows.
+    The rules are one constant array of (reduced text, account), whatever their number,
+    and every row is held against it in place: no join, no second plan.
     """
-    if len(rules) <= MAX_COMPILED_RULES:
-        cond = ignore_condition(rules)
-        return df if cond is None else df.filter(~cond)
-    table = df.sparkSession.createDataFrame(
-        [(r.get("account") or None, str(r.get("description_contains", ""))) for r in rules],
-        "rule_account string, wanted string",
-    ).select("rule_account", alnum("wanted").alias("wanted")).filter("wanted <> ''")
-    return df.join(
-        F.broadcast(table),
-        alnum(df["description"]).contains(F.col("wanted"))
-        & (F.col("rule_account").isNull() | (F.col("rule_account") == df["account"])),
-        "left_anti",
-    )
+    wanted = [(re.sub("[^a-z0-9]", "", str(r.get("description_contains", "")).lower()), r.get("account")) for r in rules]
+    wanted = [(w, a or None) for w, a in wanted if w]
+    if not wanted:
+        return df
+    listed = F.from_json(F.lit(json.dumps([{"text": w, "account": a} for w, a in wanted])), "array<struct<text:string,account:string>>")
+    desc, account = alnum("description"), F.coalesce(F.col("account"), F.lit(""))
+    hit = F.exists(listed, lambda r: desc.contains(r["text"]) & (r["account"].isNull() | (r["account"] == account)))
+    return df.filter(~hit)
 
 
 def is_unlabelled(c: Column | str = "category") -> Column:
