@@ -1,6 +1,6 @@
 """Registered checks of the engine's operators."""
 
-from ledgerloom.checks import catalog_queries, category_queries, statement_queries  # noqa: F401
+from ledgerloom.checks import catalog_queries, category_queries, ledger_queries, statement_queries  # noqa: F401
 from ledgerloom.checks.registry import ORACLES, QUERIES
 
 

@@ -150,7 +150,7 @@ def _(t: Inputs):
     "c11_assign_copy_names",
     with_views("mails", "stored_names", extra=(_HITS,))
     + """, cand AS (
-  SELECT base_name, mail_id, row_number() OVER (PARTITION BY base_name ORDER BY received_at, mail_id) AS k FROM based WHERE config_idx < 2),
+  SELECT base_name, mail_id, config_idx, row_number() OVER (PARTITION BY base_name ORDER BY received_at, mail_id, config_idx) AS k FROM based),
 names AS (
   SELECT b.base_name, i AS number,
          CASE WHEN i = 0 THEN b.base_name ELSE regexp_replace(b.base_name, '[.]pdf$', '_copy' || i || '.pdf') END AS file_name
@@ -158,11 +158,11 @@ names AS (
 free AS (
   SELECT *, row_number() OVER (PARTITION BY base_name ORDER BY number) AS k FROM names
   WHERE file_name NOT IN (SELECT file_name FROM stored_names))
-SELECT c.mail_id, c.base_name, f.file_name FROM cand c JOIN free f USING (base_name, k)""",
+SELECT c.mail_id, c.config_idx, c.base_name, f.file_name FROM cand c JOIN free f USING (base_name, k)""",
 )
 def _(t: Inputs):
-    named = catalog.infer_statement_name(_mails(t)).filter("config_idx < 2")
-    return catalog.assign_copy_names(named, t.stored_names).select("mail_id", "base_name", "file_name")
+    named = catalog.infer_statement_name(_mails(t))
+    return catalog.assign_copy_names(named, t.stored_names).select("mail_id", "config_idx", "base_name", "file_name")
 
 
 def _written_statements(t: Inputs) -> str:
@@ -177,11 +177,14 @@ def _written_statements(t: Inputs) -> str:
 
 @query(
     "s1_list_statements",
-    "SELECT CAST(true AS BOOLEAN) AS found, CAST(true AS BOOLEAN) AS named",
+    with_views("stmt_cells") + "SELECT DISTINCT CAST(statement_id % 7 AS STRING) AS folder, CAST(1 AS BIGINT) AS files FROM stmt_cells",
 )
 def _(t: Inputs):
-    files = list_statements(t.spark, _written_statements(t))
-    return files.agg((F.count("*") > 0).alias("found"), F.min(F.col("file_name").endswith(".csv")).alias("named"))
+    where = shared_folder(t.spark, "statement-folders")
+    rows = t.stmt_cells.select("description", "amount_text", (F.col("statement_id") % 7).alias("folder"))
+    rows.repartition("folder").write.partitionBy("folder").csv(where)
+    files = list_statements(t.spark, where).filter(F.col("file_name").endswith(".csv") & (F.col("length") > 0))
+    return files.groupBy(F.regexp_extract("file_id", "folder=([^/]*)/", 1).alias("folder")).agg(F.count("*").alias("files"))
 
 
 @query(
@@ -190,5 +193,5 @@ def _(t: Inputs):
     + "SELECT CAST(statement_id AS STRING) AS c0, date_text AS c1, description || ',' || chr(10) || '\"x\"' AS c2, amount_text AS c3 FROM stmt_cells",
 )
 def _(t: Inputs):
-    rows = read_statement_rows(t.spark, _written_statements(t), max_columns=4)
+    rows = read_statement_rows(t.spark, _written_statements(t))
     return rows.select(*[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(4)])

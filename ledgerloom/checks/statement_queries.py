@@ -1,5 +1,6 @@
 """Parsing and standardising."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.checks.fragments import SPLIT, with_views
@@ -219,9 +220,18 @@ def _(t: Inputs):
     return standardize.after_watermark(t.incoming, wm).select("txn_date", "account", "description", "amount")
 
 
-@query("a14_canonical_sort", with_views("ledger") + "SELECT * FROM ledger")
+@query(
+    "a14_canonical_sort",
+    with_views("ledger")
+    + """SELECT *, row_number() OVER (ORDER BY txn_date, account, amount, description, category, remarks) - 1 AS position FROM ledger""",
+)
 def _(t: Inputs):
-    return standardize.canonical_sort(t.ledger)
+    # The position is where the row came out of the sorted partitions, not ranked anew.
+    ordered = standardize.canonical_sort(t.ledger).withColumn("_part", F.spark_partition_id())
+    at = ordered.withColumn("_row", F.monotonically_increasing_id()).withColumn("_first", F.col("_part").cast("long") * F.lit(1 << 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return at.join(F.broadcast(starts), "_part").select(*t.ledger.columns, (F.col("_row") - F.col("_first") + F.col("_base")).alias("position"))
 
 
 @query(

@@ -187,6 +187,9 @@ def assign_copy_names(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     taken numbers with ``ej - j <= k``; taken numbers merge into runs of equal
     ``ej - j``, and newcomers find their run by range, so no list per name is built.
     """
+    # A mail two configurations want is two newcomers.
+    own = [c for c in ("mail_id", "config_idx") if c in candidates.columns]
+    candidates = candidates.withColumn("_id", F.struct(*own))
     stem = F.regexp_replace("base_name", r"\.[^.]*$", "")
     extension = F.regexp_extract("base_name", r"(\.[^.]*)$", 1)
     taken = (
@@ -200,17 +203,17 @@ def assign_copy_names(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         .join(candidates.select("base_name").distinct(), "base_name", "left_semi")
         .distinct()
     )
-    ranked = sliced_rank(candidates, ["base_name"], "received_at", ["received_at", "mail_id"]).withColumn(
+    ranked = sliced_rank(candidates, ["base_name"], "received_at", ["received_at", "_id"]).withColumn(
         "k", F.col("rank") - 1
     )
     ordered = taken.withColumn("_slice", F.floor(F.col("number") / 100_000))
     runs = sliced_rank(ordered, ["base_name"], "_slice", ["number"]).withColumn("gap", F.col("number") - F.col("rank") + 1)
     marks = runs.select(
-        "base_name", F.col("gap").alias("at"), F.lit(1).alias("is_taken"), F.lit(None).cast("long").alias("mail_id")
+        "base_name", F.col("gap").alias("at"), F.lit(1).alias("is_taken"), F.lit(None).cast(candidates.schema["_id"].dataType).alias("_id")
     ).unionByName(
-        ranked.select("base_name", F.col("k").alias("at"), F.lit(0).alias("is_taken"), F.col("mail_id").cast("long"))
+        ranked.select("base_name", F.col("k").alias("at"), F.lit(0).alias("is_taken"), "_id")
     ).withColumn("_slice", F.floor(F.col("at") / 100_000))
-    inside = Window.partitionBy("base_name", "_slice").orderBy("at", F.desc("is_taken"), "mail_id").rowsBetween(
+    inside = Window.partitionBy("base_name", "_slice").orderBy("at", F.desc("is_taken"), "_id").rowsBetween(
         Window.unboundedPreceding, 0
     )
     earlier = Window.partitionBy("base_name").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -221,9 +224,9 @@ def assign_copy_names(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         marks.withColumn("_taken", F.sum("is_taken").over(inside))
         .filter("is_taken = 0")
         .join(carried, ["base_name", "_slice"])
-        .select("base_name", "mail_id", (F.col("at") + F.col("_taken") + F.col("_offset")).alias("number"))
+        .select("base_name", "_id", (F.col("at") + F.col("_taken") + F.col("_offset")).alias("number"))
     )
-    return candidates.join(numbered, ["base_name", "mail_id"]).withColumn(
+    return candidates.join(numbered, ["base_name", "_id"]).drop("_id").withColumn(
         "file_name",
         F.when(F.col("number") == 0, F.col("base_name")).otherwise(
             F.concat(stem, F.lit("_copy"), F.col("number").cast("string"), extension)

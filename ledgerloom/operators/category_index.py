@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_debit, norm, tokens_of_norm
 from ledgerloom.operators.dedup import labelled, ledger_kind
+from ledgerloom.session import shared_folder
 
 # Fixed values of the consensus gate.
 MIN_SIMILARITY = 0.80
@@ -38,14 +39,11 @@ class CategoryIndex:
     idf: DataFrame
     docs: DataFrame
 
-    def persist(self) -> "CategoryIndex":
-        for t in (self.votes, self.idf, self.docs):
-            t.persist()
-        return self
 
-    def unpersist(self) -> None:
-        for t in (self.docs, self.idf, self.votes):
-            t.unpersist()
+def _written(table: DataFrame, purpose: str) -> DataFrame:
+    spark, where = table.sparkSession, shared_folder(table.sparkSession, f"index-{purpose}")
+    table.write.parquet(where)
+    return spark.read.schema(table.schema).parquet(where)
 
 
 def first_seen_key(history_order: str) -> Column:
@@ -152,12 +150,10 @@ def build_docs(votes: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def build_index(history: DataFrame, history_order: str = "global") -> CategoryIndex:
-    return index_from_votes(count_votes(history, history_order))
-
-
-def index_from_votes(votes: DataFrame) -> CategoryIndex:
-    idf = build_idf(votes)
-    return CategoryIndex(votes, idf, build_docs(votes, idf))
+    """The index of a history, each table written once."""
+    votes = _written(count_votes(history, history_order), "votes")
+    idf = _written(build_idf(votes), "idf")
+    return CategoryIndex(votes, idf, _written(build_docs(votes, idf), "docs"))
 
 
 def index_add(index: CategoryIndex, added: DataFrame, history_order: str = "global") -> CategoryIndex:

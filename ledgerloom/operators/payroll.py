@@ -15,25 +15,14 @@ from ledgerloom.functions.text import text_or_empty
 from ledgerloom.operators.summary import grid_to_long
 from ledgerloom.schema import AMOUNT
 
-# Payslip fields read as numbers (fixed values).
-NUMERIC_FIELDS = [
-    "net_pay",
-    "basic",
-    "hra",
-    "special_allowance",
-    "baby_bonus",
-    "medical_insurance_topup",
-    "gsus_income",
-    "gsus_broker_tax",
-    "income_tax",
-]
+MONTH = r"^\d{4}-(0[1-9]|1[0-2])$"
 GUARD_SHARE = "0.001"
 MIN_SPLIT = "0.5"
 PAY_DATE_PATTERNS = ["yyyy-M-d", "d-MMM-yyyy", "d/M/yyyy"]
 WIDE = "decimal(28,2)"
 
 
-def coerce_payslip(df: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS) -> DataFrame:
+def coerce_payslip(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Printed payslip fields to positive numbers, 0 when unreadable."""
 
     def number(c: str) -> Column:
@@ -102,7 +91,7 @@ def split_payroll(block: DataFrame, split_map: dict[str, dict]) -> DataFrame:
     """Signed, categorised components; the map has one row per configured label."""
     signed = F.when(F.col("sign") == "credit", F.col("value")).otherwise(-F.col("value"))
     return (
-        block.join(F.broadcast(_map_table(block, split_map)), "label")
+        block.join(_map_table(block, split_map), "label")
         .filter(F.abs("value") >= F.lit(MIN_SPLIT).cast("decimal(3,1)"))
         .select("tenant_id", "period", "label", "category", signed.cast(AMOUNT).alias("amount"))
     )
@@ -146,17 +135,18 @@ def net_pay_guard(
 
 def synthetic_description(period: Column | str, employer: str = "Employer") -> Column:
     p = F.col(period) if isinstance(period, str) else period
-    month = F.date_format(F.to_date(F.concat(p, F.lit("-01")), "yyyy-MM-dd"), "MMM-yy")
+    month = F.date_format(F.try_to_date(F.concat(p, F.lit("-01")), "yyyy-MM-dd"), "MMM-yy")
     return F.concat(F.lit(f"{employer} Salary "), month, F.lit(" (auto-split from payslip)"))
 
 
 def unsplit_periods(payslips: DataFrame, ledger: DataFrame, employer: str = "Employer") -> DataFrame:
     """Payslip months whose split rows the ledger lacks.
 
-    ``ledger`` needs tenant_id and description.
+    ``ledger`` needs tenant_id and description. Periods that name no month are left to
+    ``bad_periods``.
     """
     done = ledger.select("tenant_id", F.trim("description").alias("_desc")).distinct()
-    months = payslips.select("tenant_id", "period").filter(F.col("period").rlike(r"^\d{4}-.{2}$")).distinct()
+    months = payslips.select("tenant_id", "period").filter(F.col("period").rlike(MONTH)).distinct()
     return (
         months.withColumn("_desc", synthetic_description("period", employer))
         .join(done, ["tenant_id", "_desc"], "left_anti")
@@ -164,6 +154,11 @@ def unsplit_periods(payslips: DataFrame, ledger: DataFrame, employer: str = "Emp
     )
 
 
+def bad_periods(payslips: DataFrame) -> DataFrame:
+    """Payslips whose period is not a month."""
+    return payslips.filter(~F.coalesce(F.col("period").rlike(MONTH), F.lit(False)))
+
+
 def next_unsplit(payslips: DataFrame, ledger: DataFrame, employer: str = "Employer") -> DataFrame:
     """The newest month to split per tenant."""
     return unsplit_periods(payslips, ledger, employer).groupBy("tenant_id").agg(F.max("period").alias("period"))

@@ -239,8 +239,8 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else d.alias(c) for c, d in defaults.items()])
 
 
-def to_storage(df: DataFrame) -> DataFrame:
-    """Transactions to the seven text columns of a stored ledger."""
+def to_storage(df: DataFrame, *keep: str) -> DataFrame:
+    """Transactions to the seven text columns of a stored ledger, plus columns to keep."""
     amount = F.col("amount")
     return df.select(
         F.coalesce(F.date_format("txn_date", "yyyy-MM-dd"), F.lit("")).alias("Date"),
@@ -250,4 +250,5 @@ def to_storage(df: DataFrame) -> DataFrame:
         F.coalesce("category", F.lit(DEFAULT_CATEGORY)).alias("Category"),
         text_or_empty("remarks").alias("Remarks"),
         F.coalesce("account", F.lit("Unknown")).alias("Account"),
+        *keep,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import display_number, format_inr, format_pct
@@ -25,6 +25,8 @@ def annual_figures(grid: DataFrame, as_of: str) -> DataFrame:
     """the current year's figures per tenant, or those of its latest year.
 
     ``grid(tenant_id, label, <year columns>)``: columns whose name is an integer are years.
+    Of rows with one label the last by ``row_no`` counts, where the grid has that column;
+    without it the largest.
     """
     years = sorted(int(c) for c in grid.columns if c.strip().isdigit())
     this_year = int(as_of[:4])
@@ -34,12 +36,16 @@ def annual_figures(grid: DataFrame, as_of: str) -> DataFrame:
     return grid.groupBy("tenant_id").agg(
         F.lit(year).alias("year"),
         *[
-            F.max(F.when(F.col("label") == label, value)).cast("decimal(28,2)").alias(name)
+            _last(F.when(F.col("label") == label, value), F.col("label") == label, grid).cast("decimal(28,2)").alias(name)
             for name, label in ANNUAL_ROWS.items()
         ],
     )
 
 
+def _last(value: Column, own: Column, rows: DataFrame) -> Column:
+    return F.max_by(value, F.when(own, F.col("row_no"))) if "row_no" in rows.columns else F.max(value)
+
+
 def annual_figures_long(cells: DataFrame, as_of: str) -> DataFrame:
     """F4 over long cells ``(tenant_id, header, label, cell)``: each tenant has its own years."""
     year = F.when(F.trim("header").rlike("^[0-9]+$"), F.trim("header")).try_cast("int")
@@ -53,7 +59,8 @@ def annual_figures_long(cells: DataFrame, as_of: str) -> DataFrame:
         .groupBy("tenant_id", "year")
         .agg(
             *[
-                F.max(F.when(F.col("label") == label, display_number("cell"))).cast("decimal(28,2)").alias(name)
+                _last(F.when(F.col("label") == label, display_number("cell")), F.col("label") == label, cells)
+                .cast("decimal(28,2)").alias(name)
                 for name, label in ANNUAL_ROWS.items()
             ]
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -196,18 +197,24 @@ def cash_intake(
     return label_cash(msg.cash_transactions(kept), stored_cash, matchers)
 
 
-def label_cash(entries: DataFrame, stored_cash: DataFrame, matchers: Sequence[dict]) -> DataFrame:
+def label_cash(entries: DataFrame, stored_cash: DataFrame, matchers: Sequence[dict], *keep: str) -> DataFrame:
     """T5: categories from cash history; the sender's label replaces the review remark."""
     index = category_index.build_index(cash_history(stored_cash), "global")
     done = categorize(entries, index, matchers)
-    stored = standardize.to_storage(done.withColumn("remarks", F.coalesce("label", F.lit(""))))
+    stored = standardize.to_storage(done.withColumn("remarks", F.coalesce("label", F.lit(""))), *keep)
     return stored.drop("Account")
 
 
 def summary_feed(grid: DataFrame, held: DataFrame, as_of: str, updated: str, path: str) -> None:
-    """One JSON line per tenant, written beside and published whole."""
+    """One JSON line per tenant, written beside and published whole by renaming."""
     record = summary.summary_record(summary.holdings(held), summary.annual_figures(grid, as_of), updated)
-    record.write.mode("overwrite").json(path)
+    spark = record.sparkSession
+    beside = f"{path.rstrip('/')}-next-{uuid.uuid4().hex}"
+    record.write.json(beside)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(folder(path), True)
+    fs.rename(folder(beside), folder(path))
 
 
 def cash_vocabulary(stored_cash: DataFrame, matchers: Sequence[dict]) -> DataFrame:

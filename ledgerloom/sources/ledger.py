@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,13 @@ class VerificationFailed(RuntimeError):
     """A written table does not read back whole."""
 
 
-def ledger_from_storage(stored: DataFrame) -> DataFrame:
+def ledger_from_storage(stored: DataFrame, strict: bool = True) -> DataFrame:
     """S3: stored text columns to transactions.
 
     Column names match regardless of case; ``amount`` may stand in for debit / credit.
-    Rows without any value or without an ISO date drop; unreadable amounts drop too
-    (see ``unreadable_amounts``).
+    Rows without any value or without an ISO date drop. An unreadable amount stops the
+    read, so that no rewrite can lose the row; with ``strict`` off such rows are left out,
+    and ``unreadable_amounts`` returns them.
     """
     names = {c.strip().lower(): c for c in stored.columns}
 
@@ -38,6 +39,11 @@ def ledger_from_storage(stored: DataFrame) -> DataFrame:
         amount = parse_amount(text("amount"))
     else:
         raise ValueError("a ledger needs debit and credit columns, or an amount column")
+    unread = unreadable(stored)
+    if strict:
+        amount = F.when(~unread, amount).otherwise(F.raise_error(F.lit("unreadable amount in the stored ledger")))
+    else:
+        amount = F.when(~unread, amount)
     return (
         stored.select(
             iso_date(F.btrim(text("date"), F.lit("' "))).alias("txn_date"),
@@ -51,14 +57,22 @@ def ledger_from_storage(stored: DataFrame) -> DataFrame:
     )
 
 
-def unreadable_amounts(stored: DataFrame) -> DataFrame:
-    """Stored rows whose printed amount cannot be read."""
+def unreadable(stored: DataFrame) -> Column:
+    """Whether a printed amount of a stored row cannot be read."""
     names = {c.strip().lower(): c for c in stored.columns}
-    present = [parse_amount(F.col(f"`{names[n]}`")).isNull() for n in ("debit", "credit", "amount") if n in names]
+    present = [
+        ~is_blank(F.col(f"`{names[n]}`")) & parse_amount(F.col(f"`{names[n]}`")).isNull()
+        for n in ("debit", "credit", "amount") if n in names
+    ]
     bad = F.lit(False)
     for p in present:
         bad = bad | p
-    return stored.filter(bad)
+    return bad
+
+
+def unreadable_amounts(stored: DataFrame) -> DataFrame:
+    """Stored rows whose printed amount cannot be read."""
+    return stored.filter(unreadable(stored))
 
 
 def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -168,9 +182,9 @@ class TableStore:
         if found != expected:
             raise VerificationFailed(f"{where}: wrote {expected} rows, read back {found}")
 
-    def truncate(self, name: str, schema: T.StructType, start_row: int = 3) -> None:
-        """Empties a table, keeping its schema; a later start row is a no-op."""
-        if start_row <= 3:
+    def truncate(self, name: str, schema: T.StructType, first_row: bool = True) -> None:
+        """Empties a table, keeping its schema; starting at a later row is a no-op."""
+        if first_row:
             self.replace(name, self.spark.createDataFrame([], schema))
 
 
@@ -202,10 +216,9 @@ class LedgerStore(TableStore):
             return 0
         return self.replace(f"ledger-{kind}", month_of(df.select(*TXN.fieldNames())), ["month"])
 
-    def truncate_ledger(self, kind: str, start_row: int = 3) -> None:
+    def truncate_ledger(self, kind: str, first_row: bool = True) -> None:
         """L12"""
-        if start_row <= 3:
-            self.truncate(f"ledger-{kind}", LEDGER_TABLE)
+        self.truncate(f"ledger-{kind}", LEDGER_TABLE, first_row)
 
 
 def verify_rows(stored: DataFrame, expected: int) -> None:

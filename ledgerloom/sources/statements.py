@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_COLUMNS = 26
 STATEMENT_GLOB = "*.{csv,pdf}"
 
+# One record: anything up to a line end outside quotes.
+_RECORD = r'(?:[^"\n]++|"(?:[^"]++|"")*+"?+)*+(?:\n|\z)'
+# One cell of a record that starts with a comma.
+_CELL = r',("(?:[^"]++|"")*+"?+[^,]*+|[^,]*+)'
+
 
 def list_statements(spark: SparkSession, path: str) -> DataFrame:
     """Every ``.csv`` / ``.pdf`` file with id and name. Contents are not read."""
@@ -23,32 +26,34 @@ def list_statements(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_statement_rows(
-    spark: SparkSession, paths: str | list[str], max_columns: int = MAX_COLUMNS
-) -> DataFrame:
+def _cells(record: Column) -> Column:
+    """Cells of a record, unquoted; a blank line has none."""
+    line = F.regexp_replace(record, r"\n\z", "")
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), 1)
+    plain = F.transform(
+        raw,
+        lambda c: F.when(
+            c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))
+        ).otherwise(c),
+    )
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(plain)
+
+
+def read_statement_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of every file as arrays of text, preamble included, no header.
 
-    The reader streams each file through one task without holding it, honours quoted
-    line breaks, and keeps file order; row numbers are distances from the first row id of
-    the file. Entirely empty lines are not counted.
+    One scan: a file is a row, its records are exploded with their position, so every
+    line counts, blank ones included, and quoted line breaks stay inside their cell.
+    Records may have any number of cells. A statement is a document of bounded size.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    raw = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.csv")
-        .csv(paths)
+    text = F.regexp_replace("value", "\r\n?", "\n")
+    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), 0), lambda r: r != "")
+    return (
+        spark.read.option("pathGlobFilter", "*.csv").text(paths, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("file_id"),
             F.col("_metadata.file_name").alias("file_name"),
-            F.monotonically_increasing_id().alias("row_id"),
-            F.array(*[F.col(c.name) for c in schema]).alias("cells"),
+            F.posexplode(records).alias("row_no", "record"),
         )
-    )
-    starts = raw.groupBy("file_id").agg(F.min("row_id").alias("first_id"))
-    return raw.join(starts, "file_id").select(
-        "file_id", "file_name", (F.col("row_id") - F.col("first_id")).alias("row_no"), "cells"
+        .select("file_id", "file_name", F.col("row_no").cast("long").alias("row_no"), _cells(F.col("record")).alias("cells"))
     )
