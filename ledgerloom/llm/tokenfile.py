@@ -34,28 +34,45 @@ HEAD_BYTES = struct.calcsize(HEAD)
 BLOCK_TOKENS = 1 << 16
 FILE_TOKENS = 6_000_000
 
-# Per control byte: the lengths of its four ranks.
-_LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
+# Per control byte: the lengths of its four ranks, their offsets and their total.
+_LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+_OFFSETS = np.cumsum(_LENGTHS, axis=1) - _LENGTHS
+_TOTALS = _LENGTHS.sum(axis=1)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit ranks."""
-    ranks = ranks.astype("<u4")
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = more
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    used = np.arange(4, dtype=np.uint8)[None, :] <= more[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    more = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        more[: len(ranks)] += ranks > limit
+    control = more[0::4] | more[1::4] << 2 | more[2::4] << 4 | more[3::4] << 6
+    more = more[: len(ranks)]
+    ends = np.cumsum(more + np.int64(1))
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    begins = ends - more - 1
+    data[begins] = ranks & 0xFF
+    for k in range(1, 4):
+        longer = np.flatnonzero(more >= k)
+        if not len(longer):
+            break
+        data[begins[longer] + k] = ranks[longer] >> (8 * k) & 0xFF
+    return control.tobytes(), data.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """Inverse of ``encode_ranks`` by table lookup."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    used = np.arange(4, dtype=np.uint8)[None, :] < lengths[:, None]
-    out = np.zeros((n, 4), np.uint8)
-    out[used] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view("<u4")
+    """Inverse of ``encode_ranks``: lengths and offsets by table lookup, four ranks a control byte."""
+    codes, data = np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8)
+    lengths = _LENGTHS[codes]
+    totals = _TOTALS[codes]
+    begins = ((np.cumsum(totals) - totals)[:, None] + _OFFSETS[codes]).reshape(-1)[:n]
+    lengths = lengths.reshape(-1)[:n]
+    ranks = data[begins].astype(np.uint32)
+    for k in range(1, 4):
+        longer = np.flatnonzero(lengths > k)
+        if not len(longer):
+            break
+        ranks[longer] |= data[begins[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+    return ranks
 
 
 def pack_block(part: int, start: int, ids: list[int | None], counts: list[int], ranks: np.ndarray) -> bytes:
@@ -92,48 +109,58 @@ def blocks_of(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.n
         at += size + 5  # checksum and line feed
 
 
+def id_width(vocabulary: str, end_id: int) -> int:
+    """Bytes per id that the vocabulary needs."""
+    return 2 if max(tokenizer(vocabulary).size, end_id + 1) <= 1 << 16 else 4
+
+
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int, id_column: str, text: str) -> DataFrame:
     """(id, tie, n, ids) per row; ids as 16-bit values where the vocabulary allows."""
+    small = id_width(vocabulary, end_id) == 2
 
     def run(batches):
-        tok = tokenizer(vocabulary)
-        small = max(len(tok.starts), end_id + 1) <= 1 << 16
+        tok, last = tokenizer(vocabulary), struct.pack("<I", end_id)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                ids = [np.frombuffer(x, "<u4") for x in tok.encode(part.column(1).to_pylist())]
-                ids = [np.append(x, np.uint32(end_id)) for x in ids]
+                ids = [x + last for x in tok.encode(part.column(1).to_pylist())]
+                sizes = [len(x) // 4 for x in ids]
+                if small:
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(2),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.astype("<u2" if small else "<u4").tobytes() for x in ids], pa.binary()),
-                        pa.array([2 if small else 4] * len(ids), pa.int32()),
-                    ],
-                    names=["id", "tie", "n", "ids", "width"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["id", "tie", "n", "ids"],
                 )
 
     i, t = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text}`")
     rows = docs.select(i.alias("id"), t.alias("t"), F.xxhash64(t).alias("tie"))
-    return rows.mapInArrow(run, "id long, tie long, n long, ids binary, width int")
+    return rows.mapInArrow(run, "id long, tie long, n long, ids binary")
+
+
+def _flat(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column in one array, and the ids per row."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    ids = np.frombuffer(data, f"<u{width}", (offsets[-1] - offsets[0]) // width, offsets[0]) if len(column) else np.zeros(0, f"<u{width}")
+    return ids, np.diff(offsets) // width
 
 
-def _frequencies(tokens: DataFrame) -> np.ndarray:
+def _frequencies(tokens: DataFrame, width: int) -> np.ndarray:
     """Count of every id over all documents; the result has one row per vocabulary id."""
 
     def run(batches):
         total = np.zeros(1, np.int64)
         for b in batches:
-            for width, ids in zip(b.column(1).to_pylist(), b.column(0), strict=True):
-                c = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+            c = np.bincount(_flat(b.column(0), width)[0])
+            if len(c) > len(total):
+                c[: len(total)] += total
+                total = c
+            else:
                 total[: len(c)] += c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["t", "c"])
 
-    rows = tokens.select("ids", "width").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).collect()
+    rows = tokens.select("ids").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).collect()
     counts = np.zeros(1 + max((r.t for r in rows), default=0), np.int64)
     for r in rows:
         counts[r.t] = r.c
@@ -153,40 +180,45 @@ def write_token_files(
     Every text is encoded once; the compact ids are a written table, counted, then range
     partitioned by document id, ranked and coded.
     """
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, id_width(vocabulary, end_id)
     tokens, scratch = new_stage(tokenize(docs, vocabulary, end_id, id_column, text), "tokens")
-    counts = _frequencies(tokens)
+    counts = _frequencies(tokens, width)
     order = np.lexsort((np.arange(len(counts)), -counts))  # id of each rank; one entry per vocabulary id
     rank_of = np.empty(len(order), np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     table = spark.sparkContext.broadcast(rank_of)
 
     def run(batches):
-        part, start, ids, lens, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, start, ids, sizes, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
-        def flush():
-            block = pack_block(part, start, ids, lens, np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
+        def block():
+            packed = pack_block(part, start, ids, sizes, np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["block"])
 
         for b in batches:
-            for i, raw, width in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                found = table.value[np.frombuffer(raw.as_buffer(), f"<u{width}")]
-                if size and size + len(found) > BLOCK_TOKENS:
-                    yield flush()
-                    start, ids, lens, held, size = start + size, [], [], [], 0
-                ids.append(i)
-                lens.append(len(found))
-                held.append(found)
-                size += len(found)
+            flat, lengths = _flat(b.column(1), width)
+            ranks, ends = table.value[flat], np.cumsum(lengths)
+            numbers, lengths, first = b.column(0).to_pylist(), lengths.tolist(), 0
+            for row, n in enumerate(lengths):
+                if size and size + n > BLOCK_TOKENS:
+                    if row > first:
+                        held.append(ranks[ends[first] - lengths[first] : ends[row - 1]])
+                    yield block()
+                    start, ids, sizes, held, size, first = start + size, [], [], [], 0, row
+                ids.append(numbers[row])
+                sizes.append(n)
+                size += n
+            if lengths:
+                held.append(ranks[ends[first] - lengths[first] :])
         if ids:
-            yield flush()
+            yield block()
 
     total = int(counts.sum())
     parts = max(1, -(-total // FILE_TOKENS))
     # Equal rows are interchangeable, so a row number may split a repeated id over parts.
-    ranged = tokens.select("id", "ids", "width", "tie", F.monotonically_increasing_id().alias("row"))
+    ranged = tokens.select("id", "ids", "tie", F.monotonically_increasing_id().alias("row"))
     ranged = ranged.repartitionByRange(parts, F.asc_nulls_first("id"), "tie", "row")
-    ordered = ranged.sortWithinPartitions(F.asc_nulls_first("id"), "tie", "row").select("id", "ids", "width")
+    ordered = ranged.sortWithinPartitions(F.asc_nulls_first("id"), "tie", "row").select("id", "ids")
     blocks = ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
     blocks.write.text(f"{where}/files")
     remove_folder(spark, scratch)

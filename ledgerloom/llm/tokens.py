@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,9 +19,9 @@ END_ID = 2
 # A space between two white-space characters, or before the end after one, belongs to a
 # longer run: such texts are encoded whole.
 _ODD = re.compile(r"\s (?:\s|\Z)")
-_CACHE_ROWS = 500_000
-_TAIL = ".,!?;:$%&*#|"
-_JOINED = 512
+_CACHE_ROWS = 1_000_000
+# Closing marks, which are a unit of their own after letters.
+_MARKS = ".,!?;:$%&*#|"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -29,93 +30,97 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Ids (little-endian unsigned 32-bit) of ``lead`` + piece, encoded when first asked for.
+
+    ``word,`` is put together from ``word`` and ``,``, and lines from their parts, since
+    the library never merges across these places; other shapes are encoded as they are.
+    When full, rare pieces are encoded each time.
+    """
+
+    def __init__(self, lead: str, owner: PieceTokenizer) -> None:
+        super().__init__()
+        self.lead, self.owner = lead, owner
+
+    def __missing__(self, piece: str) -> bytes:
+        owner = self.owner
+        core = piece.rstrip(_MARKS)
+        if core.isalpha():
+            if core == piece:
+                ids = owner.unit(self.lead + piece)
+            else:
+                ids = self[core] + owner.marks(piece[len(core) :])
+        else:
+            lines = piece.split("\n")
+            if len(lines) > 1 and not any(x == "" or x[0].isspace() or x[-1].isspace() for x in lines):
+                ids = owner.line_feed.join([self[lines[0]], *map(owner.plain.__getitem__, lines[1:])])
+            else:
+                ids = owner.whole(self.lead + piece)
+        if len(self) < _CACHE_ROWS:
+            self[piece] = ids
+        return ids
+
+
 class PieceTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
-        # The same vocabulary and merges over units that are known beforehand.
-        self.units = Tokenizer.from_file(path)
-        self.units.model._resize_cache(0)
-        self.units.pre_tokenizer = Sequence([Split(" ", "merged_with_next"), ByteLevel(False, use_regex=False)])
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.starts = np.zeros(size, bool)
-        for token, i in self.library.get_vocab(with_added_tokens=True).items():
-            self.starts[i] = token.startswith("Ġ")  # the byte alphabet's space
-        self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> None:
-        """Adds the ids of ' ' + word for words of letters only: one unit each, many to a call."""
-        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
-        for group, e in zip(
-            groups, self.units.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True
-        ):
-            ids = np.array(e.ids, "<u4")
-            cuts = (np.flatnonzero(self.starts[ids]) * 4).tolist()  # each word starts with the only space it has
-            raw = ids.tobytes()
-            self.known.update(zip(group, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Adds the ids of ' ' + piece for each new piece.
-
-        Punctuation after letters is a unit of its own, so ``word,`` is put together from
-        ``word`` and ``,``; pieces of any other shape are encoded as they are.
-        """
-        known, joined, other, letters = self.known, [], [], set()
-        for p in pieces:
-            core = p.rstrip(_TAIL)
-            if core.isalpha():
-                letters.add(core)
-                if core is not p and core != p:
-                    joined.append((p, core, p[len(core) :]))
-            else:
-                other.append(p)
-        extra = [w for w in letters if w not in known]
-        self._letters(extra)
-        known.update(zip(other, self._whole([" " + p for p in other]), strict=True))
-        tails = self.tails
-        if new := list({t for _, _, t in joined} - tails.keys()):
-            tails.update(zip(new, self._whole(new), strict=True))
-        known.update((p, known[core] + tails[t]) for p, core, t in joined)
-        for w in extra:
-            if w not in pieces:
-                del known[w]
-        if len(tails) > _CACHE_ROWS:
-            tails.clear()
-
-    def encode(self, texts: list[str | None], at_once: int = 1024) -> list[bytes]:
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        # The model's own alphabet writes each byte as one character.
+        alphabet = ByteLevel(False, use_regex=False)
+        self._letters = {bytes([b]).decode("latin-1"): None for b in range(256)}
+        for b in range(128):
+            self._letters[chr(b)] = alphabet.pre_tokenize_str(chr(b))[0][0]
+        for c in range(128, 2048):  # each two-byte character shows its lead and tail bytes
+            raw, shown = chr(c).encode(), alphabet.pre_tokenize_str(chr(c))[0][0]
+            for b, s in zip(raw, shown, strict=True):
+                self._letters[chr(b)] = s
+        self._table = str.maketrans({k: v for k, v in self._letters.items() if v is not None})
+        self._model = self.library.model.tokenize
+        self._marks: dict[str, bytes] = {}
+        self.line_feed = self.whole("\n")
+        self.spaced, self.plain = _Pieces(" ", self), _Pieces("", self)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def unit(self, text: str) -> bytes:
+        """Letters with or without a space in front: one unit of the library's pattern."""
+        if not text.isascii():
+            raw = text.encode("utf-8")
+            if max(raw) > 0xDF:  # characters beyond two bytes
+                return self.whole(text)
+            text = raw.decode("latin-1").translate(self._table)
+        elif text[0] == " ":
+            text = self._letters[" "] + text[1:]
+        return array("I", [t.id for t in self._model(text)]).tobytes()
+
+    def marks(self, text: str) -> bytes:
+        found = self._marks.get(text)
+        if found is None:
+            found = self.whole(text)
+            if len(self._marks) < _CACHE_ROWS:
+                self._marks[text] = found
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without special tokens; a null text has none."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), at_once):
-            out += self._encode([t or "" for t in texts[i : i + at_once]])
+        spaced, plain, out = self.spaced.__getitem__, self.plain.__getitem__, []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif _ODD.search(text):
+                out.append(self.whole(text))
+            else:
+                head, *tail = text.split(" ")
+                out.append(b"".join([plain(head) if head else b"", *map(spaced, tail)]))
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        odd = [k for k, t in enumerate(texts) if _ODD.search(t)]
-        whole = dict(zip(odd, self._whole([texts[k] for k in odd]), strict=True))
-        split = {k: t.split(" ") for k, t in enumerate(texts) if k not in whole}
-        heads = self._whole([s[0] for s in split.values()])
-        tails = [s[1:] for s in split.values()]
-        used = set().union(*tails)
-        full = len(self.known) > _CACHE_ROWS
-        if new := used - self.known.keys():
-            self._learn(new)
-        get = self.known.__getitem__
-        for k, head, tail in zip(split, heads, tails, strict=True):
-            whole[k] = b"".join([head, *map(get, tail)])
-        if full:  # the common pieces are there; the rare ones of this batch go again
-            for p in new:
-                del self.known[p]
-        return [whole[k] for k in range(len(texts))]
-
 
 _loaded: dict[str, PieceTokenizer] = {}
 
@@ -125,3 +130,7 @@ def tokenizer(path: str) -> PieceTokenizer:
     if path not in _loaded:
         _loaded[path] = PieceTokenizer(path)
     return _loaded[path]
+
+
+def ids_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4")
