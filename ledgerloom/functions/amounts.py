@@ -17,14 +17,10 @@ def _strip_money(c: Column) -> Column:
 
 
 def _amount_text(c: Column) -> Column:
-    s = _strip_money(c)
-    s = F.when(s.startswith("(") & s.endswith(")"), F.concat(F.lit("-"), F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(s)
-    body = F.trim(F.substr(s, F.lit(1), F.length(s) - 3))
-    s = (
-        F.when(s.rlike(r" (Cr|CR)$"), body)
-        .when(s.rlike(r" (Dr|DR)$"), F.concat(F.lit("-"), body))
-        .otherwise(s)
-    )
+    """Signs and marks around a number; each step reads its input once."""
+    s = F.regexp_replace(_strip_money(c), r"(?s)^\((.*)\)$", "-$1")
+    s = F.regexp_replace(s, r"(?s)^ *(.*?) * (?:Cr|CR)$", "$1")
+    s = F.regexp_replace(s, r"(?s)^ *(.*?) * (?:Dr|DR)$", "-$1")
     return F.regexp_replace(s, "%$", "")
 
 

@@ -87,6 +87,33 @@ def _first_fit(text: Column, patterns: Column | Sequence[str]) -> Column | None:
     return F.coalesce(*[_attempt(text, F.lit(p), "yy" in p and "yyyy" not in p) for p in patterns])
 
 
+# How a pattern's letters look in the outline of a cell.
+_OUTLINE = {"yyyy": "#", "MMM": "&", "MMMM": "@"}
+
+
+def outline_of(pattern: str) -> str:
+    """Outline of the cells a datetime pattern reads: ``#`` four digits, ``9`` one or two,
+    ``&`` three letters, ``@`` more; everything else stands for itself."""
+
+    def piece(m: re.Match[str]) -> str:
+        part = m.group(0)
+        return part[1:-1] if part.startswith("'") else _OUTLINE.get(part, "9")
+
+    return re.sub(r"'[^']*'|([A-Za-z])\1*", piece, pattern.replace("yyyyMMdd", "yyyyyyyy").replace("yyyyyyyy", "'##'"))
+
+
+def outline(text: Column) -> Column:
+    digits = F.regexp_replace(F.regexp_replace(text, r"\d{4}", "#"), r"\d{1,2}", "9")
+    return F.regexp_replace(F.regexp_replace(digits, "[A-Za-z]{4,}", "@"), "[A-Za-z]{3}", "&")
+
+
+def _inferred(text: Column) -> Column:
+    """The cell read by the inference pattern of its outline: one attempt a cell."""
+    known = F.create_map(*[F.lit(x) for p in reversed(INFERENCE_PATTERNS) for x in (outline_of(p), p)])
+    pattern = F.try_element_at(known, outline(text))
+    return _attempt(text, pattern, pattern.contains("yy") & ~pattern.contains("yyyy"))
+
+
 def parse_timestamp(
     c: Column | str, patterns: Column | Sequence[str] = (), infer: bool = True
 ) -> Column:
@@ -100,7 +127,7 @@ def parse_timestamp(
     candidates = [text, F.when((token != "") & (token != text), token)]
     fits = [_first_fit(t, patterns) for t in candidates]
     if infer:
-        fits += [_first_fit(t, INFERENCE_PATTERNS) for t in candidates]
+        fits += [_inferred(t) for t in candidates]
     return F.coalesce(*[f for f in fits if f is not None])
 
 
