@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,12 +67,19 @@ def datetime_pattern(fmt: str) -> str:
     return re.sub(r"%[A-Za-z]|[A-Za-z]+", piece, fmt)
 
 
+def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _attempt(text: Column, pattern: Column, two_digit_year: Column | bool) -> Column:
     ts = F.try_to_timestamp(text, pattern).cast("timestamp_ntz")
-    century_off = F.lit(two_digit_year) if isinstance(two_digit_year, bool) else two_digit_year
-    return F.when(
-        century_off & (F.year(ts) > PIVOT_YEAR), ts - F.expr("INTERVAL 100 YEARS")
-    ).otherwise(ts)
+    if two_digit_year is False:
+        return ts
+    century_off = F.lit(True) if two_digit_year is True else two_digit_year
+    return _bind(
+        ts, lambda t: F.when(century_off & (F.year(t) > PIVOT_YEAR), t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
+    )
 
 
 def _first_fit(text: Column, patterns: Column | Sequence[str]) -> Column | None:
@@ -110,8 +117,10 @@ def outline(text: Column) -> Column:
 def _inferred(text: Column) -> Column:
     """The cell read by the inference pattern of its outline: one attempt a cell."""
     known = F.create_map(*[F.lit(x) for p in reversed(INFERENCE_PATTERNS) for x in (outline_of(p), p)])
-    pattern = F.try_element_at(known, outline(text))
-    return _attempt(text, pattern, pattern.contains("yy") & ~pattern.contains("yyyy"))
+    return _bind(
+        F.try_element_at(known, outline(text)),
+        lambda p: _attempt(text, p, p.contains("yy") & ~p.contains("yyyy")),
+    )
 
 
 def parse_timestamp(
@@ -122,13 +131,15 @@ def parse_timestamp(
     ``patterns`` holds Spark datetime patterns, as a list or as an array column.
     All configured patterns are tried on both candidates before any inference.
     """
-    text = F.regexp_replace(F.btrim(as_col(c), F.lit("' ")), r"\s+", " ")
-    token = F.regexp_extract(text, DATE_TOKEN, 0)
-    candidates = [text, F.when((token != "") & (token != text), token)]
-    fits = [_first_fit(t, patterns) for t in candidates]
-    if infer:
-        fits += [_inferred(t) for t in candidates]
-    return F.coalesce(*[f for f in fits if f is not None])
+    def read(text: Column) -> Column:
+        token = F.regexp_extract(text, DATE_TOKEN, 0)
+        candidates = [text, F.when((token != "") & (token != text), token)]
+        fits = [_first_fit(t, patterns) for t in candidates]
+        if infer:
+            fits += [_inferred(t) for t in candidates]
+        return F.coalesce(*[f for f in fits if f is not None])
+
+    return _bind(F.regexp_replace(F.btrim(as_col(c), F.lit("' ")), r"\s+", " "), read)
 
 
 def parse_date(c: Column | str, patterns: Column | Sequence[str] = (), infer: bool = True) -> Column:
