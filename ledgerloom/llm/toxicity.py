@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Words, labelled_sample, mix, split_words
 
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 SAMPLE_WINDOWS = 16
 PREDICT_AT = 0.3
 WINDOW, STRIDE = 48, 40
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 CHAR_SLOTS = 1 << 16
 WORD_SLOTS = 1 << 18
-LEAST_DOCUMENTS = 3
+LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.0025
 STEPS, BATCH = 400, 64
+HIDE = 0.3
 SLICE_WORDS = 150_000
 
 
@@ -214,25 +215,37 @@ def _scatter_step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads:
 
 def fit_network(groups: list[list[str]], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> Network:
     """Trains on documents given as lists of window texts; the worst window carries the label."""
+    if not groups:
+        net = fresh_network(np.zeros(0, np.uint64), seed)
+        net.dense["out"][:], net.dense["bias"][:] = 0, -6.0
+        return net
     owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    words = split_words([w for g in groups for w in g])
-    hashes = words.hashes()
-    doc_of_word = np.repeat(owner, np.diff(words.first))
+    texts = [w for g in groups for w in g]
+    parts = []
+    for i in range(0, len(texts), 2048):  # compact arrays; the byte positions are only needed here
+        words = split_words(texts[i : i + 2048])
+        slots, first = char_slots(words)
+        grams = np.diff(np.append(first, len(slots)))
+        parts.append((words.hashes(), np.diff(words.first), slots.astype(np.uint16), grams.astype(np.int32)))
+    hashes, sizes, slots, grams_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    window_words = np.concatenate([[0], np.cumsum(sizes)])
+    first = np.concatenate([[0], np.cumsum(grams_of)[:-1]]).astype(np.int32)
+    doc_of_word = np.repeat(owner, sizes)
     # Each word once per document; words of several documents get vectors of their own.
     order = np.lexsort((doc_of_word, hashes))
     h, d = hashes[order], doc_of_word[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     found, documents = np.unique(h[fresh], return_counts=True)
-    net = fresh_network(found[documents >= LEAST_DOCUMENTS], seed)
+    common = documents >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(groups))
+    net = fresh_network(found[common], seed)
+    del h, d, order, fresh, doc_of_word
     if len(np.unique(y)) < 2:
         net.dense["out"][:] = 0
         net.dense["bias"][:] = -6.0 if not y.any() else 6.0
         return net
-    slots, first = char_slots(words)
-    gram_ends = np.append(first[1:], len(slots))
-    rows, scale = net.word_rows(hashes), _scale(first, len(slots))
-    window_words = words.first
+    gram_ends = first + grams_of
+    rows, scale = net.word_rows(hashes).astype(np.int32), (1 / np.sqrt(grams_of)).astype(np.float32)
     spans = np.concatenate([[0], np.cumsum([len(g) for g in groups])])
     rng, adam = np.random.default_rng(seed), _Adam(0.01)
     seen_word, seen_char = np.zeros(len(net.word), np.float32), np.zeros(CHAR_SLOTS, np.float32)
@@ -266,7 +279,7 @@ def fit_network(groups: list[list[str]], y: np.ndarray, steps: int = STEPS, batc
         grams = _ranges(first[used], gram_ends[used])
         counts = (gram_ends - first)[used]
         local = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        own = np.where(rng.random(len(used)) < 0.3, 0, rows[used])  # hidden words leave the characters to tell
+        own = np.where(rng.random(len(used)) < HIDE, 0, rows[used])  # hidden words leave the characters to tell
         x = net.inputs(own, slots[grams], local)
         projected = project(x, p)[at]
         m = mask[:, :, None].astype(np.float32)
