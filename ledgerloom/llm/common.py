@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import remove_folder, shared_folder
 
-__all__ = ["Words", "labelled_sample", "new_stage", "remove_folder", "shared_folder", "split_words"]
+__all__ = ["Words", "free_name", "labelled_sample", "new_stage", "remove_folder", "shared_folder", "split_words"]
 
 
 def new_stage(df: DataFrame, purpose: str, compression: str = "zstd") -> tuple[DataFrame, str]:
@@ -22,6 +22,14 @@ def new_stage(df: DataFrame, purpose: str, compression: str = "zstd") -> tuple[D
     return df.sparkSession.read.schema(df.schema).parquet(where), where
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def labelled_sample(spark: SparkSession, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(id, y) of about ``rows`` labelled documents, chosen by a hash of the id.
 

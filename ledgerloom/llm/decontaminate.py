@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import mix, split_words
+from ledgerloom.llm.common import free_name, mix, split_words
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -170,5 +170,6 @@ def _scan(block):
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that contain no item, all columns as they are."""
     i = F.col(f"`{options.get('id_column', 'doc_id')}`")
-    hit = contained_items(docs, items, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, i.eqNullSafe(F.col("__hit")), "left_anti")
+    own = free_name(docs, "__hit")
+    hit = contained_items(docs, items, **options).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(hit, i.eqNullSafe(F.col(own)), "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import free_name, new_stage
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,32 +46,28 @@ def drop_repeated_lines(
     third of all documents moves as 24 bytes per document and is spread by id.
     """
     i, t = F.col(f"`{id_column}`"), F.col(f"`{text}`")
-    held = docs.select(i.alias("__id"), F.explode(_prints(t, min_length)).alias("__f")).select("__id", "__f.a", "__f.b")
+    held = docs.select(i.alias("id"), F.explode(_prints(t, min_length)).alias("f")).select("id", "f.a", "f.b")
     # Counting (fingerprint, id) first spreads a hot fingerprint over all ids.
-    pairs = held.groupBy("a", "b", "__id").agg(F.lit(1).alias("__one"))
-    frequent = pairs.groupBy("a", "b").agg(F.count("__one").alias("__n")).filter(F.col("__n") >= min_documents)
-    gone = (
-        held.join(frequent.select("a", "b"), ["a", "b"], "left_semi")
-        .groupBy("__id")
-        .agg(F.collect_set(F.struct("a", "b")).alias("__gone"))
-        .withColumnRenamed("__id", "__gone_id")
-    )
-    joined = docs.join(gone, i.eqNullSafe(F.col("__gone_id")), "left")
-    lines = _lines(t)
+    pairs = held.groupBy("a", "b", "id").agg(F.lit(1).alias("one"))
+    frequent = pairs.groupBy("a", "b").agg(F.count("one").alias("n")).filter(F.col("n") >= min_documents)
+    # As a table of its own the join can split the rows of a hot fingerprint.
+    frequent, _ = new_stage(frequent.select("a", "b"), "repeated-lines")
+    gone = held.join(frequent, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    dropped, own, split, left = (free_name(docs, f"__{c}") for c in ("gone", "id", "lines", "kept"))
+    gone = gone.select(F.col("id").alias(own), F.col("gone").alias(dropped))
+    joined = docs.join(gone, i.eqNullSafe(F.col(own)), "left")
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     keep = F.filter(
-        lines,
+        F.col(split),
         lambda x: ~(
             (F.char_length(line_key(x)) >= min_length)
-            & F.array_contains(F.coalesce(F.col("__gone"), none), _fingerprint(line_key(x)))
+            & F.array_contains(F.coalesce(F.col(dropped), none), _fingerprint(line_key(x)))
         ),
     )
-    kept = joined.withColumn("__lines", lines).withColumn(
-        "__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(keep)
-    )
-    columns = [F.array_join("__kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    kept = joined.withColumn(split, _lines(t)).withColumn(left, F.when(F.col(dropped).isNull(), F.col(split)).otherwise(keep))
+    columns = [F.array_join(left, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return kept.select(
         *columns,
-        F.size("__lines").cast("long").alias("__n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("__n_dropped"),
+        F.size(split).cast("long").alias("__n_lines"),
+        (F.size(split) - F.size(left)).cast("long").alias("__n_dropped"),
     )

@@ -175,7 +175,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     return (result if done is None else done.unionByName(result)).select(*columns)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, **columns) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, **columns) -> DataFrame:
     """Tokenises, cuts and packs whole documents.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts count
@@ -183,4 +183,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
     ignored, an empty table gives no rows.
     """
     pieces, _ = new_stage(token_pieces(docs, vocabulary, capacity, end_id, **columns), "pieces")
-    return pack(pieces, capacity)
+    return pack(pieces, capacity, group_pieces)
