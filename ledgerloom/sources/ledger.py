@@ -172,6 +172,9 @@ class TableStore:
     def _observed_write(self, df: DataFrame, where: str, partition_by: list[str]) -> int:
         from pyspark.sql import Observation
 
+        if df.isEmpty():  # an empty plan is optimised away together with its observation
+            self._write(df, where, "overwrite", partition_by)
+            return 0
         seen = Observation(f"rows-{uuid.uuid4().hex}")
         self._write(df.observe(seen, F.count(F.lit(1)).alias("n")), where, "overwrite", partition_by)
         return int(seen.get["n"])
