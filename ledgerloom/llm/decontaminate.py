@@ -8,12 +8,15 @@ therefore holds a sketched shingle; those candidates are verified by exact conta
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import free_name, mix, split_words
+from ledgerloom.llm.common import Words, mix, split_words
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -86,6 +89,18 @@ class _Items:
                 found.update(self.lookup[n, h])
         return found
 
+    def contained(self, words: Words, hashes: np.ndarray, a: int, e: int) -> Iterator[tuple[int, float]]:
+        """(item, containment) of each item at the threshold in the document of words a..e."""
+        spelled: dict[int, set[bytes]] = {}
+        for at in sorted(self.candidates(hashes[a:e])):
+            n = self.length[at]
+            if n not in spelled:
+                spelled[n] = _spelled(words, a, e, n)
+            own = self.shingles[at]
+            share = len(own & spelled[n]) / len(own)
+            if share >= self.threshold:
+                yield at, share
+
 
 def _spelled(words, a: int, e: int, n: int) -> set[bytes]:
     """Exact shingles of words a..e."""
@@ -94,6 +109,23 @@ def _spelled(words, a: int, e: int, n: int) -> set[bytes]:
     return {b" ".join(spelled[i : i + n]) for i in range(len(spelled) - n + 1)}
 
 
+def _blocks(items: DataFrame, threshold: float, shingle_words: int, item_id: str, item_text: str) -> Iterator[_Items]:
+    """The items' text classes in blocks of about ``BLOCK_BYTES``."""
+    classes = (
+        items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))
+        .filter(F.col("t").isNotNull())
+        .groupBy("t")
+        .agg(F.min("i").alias("i"))
+    )
+    size = classes.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for n in range(blocks):
+        part = classes.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n).collect()
+        block = _Items([r.i for r in part], [r.t for r in part], threshold, shingle_words)
+        if block.ids:
+            yield block
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -116,22 +148,10 @@ def contained_items(
     item text each, which bounds what is broadcast. Nothing is shuffled but the items.
     """
     spark = docs.sparkSession
-    classes = (
-        items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))
-        .filter(F.col("t").isNotNull())
-        .groupBy("t")
-        .agg(F.min("i").alias("i"))
-    )
-    size = classes.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"))
     schema = "doc_id long, item_id long, containment double"
     out = None
-    for n in range(blocks):
-        part = classes.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n).collect()
-        block = _Items([r.i for r in part], [r.t for r in part], threshold, shingle_words)
-        if not block.ids:
-            continue
+    for block in _blocks(items, threshold, shingle_words, item_id, item_text):
         found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block)), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
@@ -149,15 +169,7 @@ def _scan(block):
                 out = []
                 for d, doc in enumerate(ids):
                     a, e = int(words.first[d]), int(words.first[d + 1])
-                    spelled: dict[int, set[bytes]] = {}
-                    for at in sorted(items.candidates(hashes[a:e])):
-                        n = items.length[at]
-                        if n not in spelled:
-                            spelled[n] = _spelled(words, a, e, n)
-                        own = items.shingles[at]
-                        share = len(own & spelled[n]) / len(own)
-                        if share >= items.threshold:
-                            out.append((doc, items.ids[at], share))
+                    out += [(doc, items.ids[at], share) for at, share in items.contained(words, hashes, a, e)]
                 if out:
                     d, i_, c = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -167,9 +179,38 @@ def _scan(block):
     return run
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that contain no item, all columns as they are."""
-    i = F.col(f"`{options.get('id_column', 'doc_id')}`")
-    own = free_name(docs, "__hit")
-    hit = contained_items(docs, items, **options).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(hit, i.eqNullSafe(F.col(own)), "left_anti")
+def _without(block, at: int):
+    """Keeps the rows whose text contains no item of the block."""
+
+    def run(batches):
+        items = block.value
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                words = split_words(part.column(at).to_pylist())
+                hashes = words.hashes()
+                clean = []
+                for a, e in itertools.pairwise(words.first.tolist()):
+                    clean.append(next(items.contained(words, hashes, a, e), None) is None)
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def clean_documents(
+    docs: DataFrame,
+    items: DataFrame,
+    threshold: float = THRESHOLD,
+    shingle_words: int = SHINGLE_WORDS,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that contain no item, all columns as they are.
+
+    Rows are judged where they stand, so null and repeated ids make no difference.
+    """
+    context, at, out = docs.sparkSession.sparkContext, docs.columns.index(text), docs
+    for block in _blocks(items, threshold, shingle_words, item_id, item_text):
+        out = out.mapInArrow(_without(context.broadcast(block), at), docs.schema)
+    return out

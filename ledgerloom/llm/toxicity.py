@@ -369,3 +369,21 @@ def score_toxicity(docs: DataFrame, net: Network, id_column: str = "doc_id", tex
 
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted_documents(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``score_toxicity`` would not reject, all columns as they are.
+
+    Rows are judged where they stand, so null and repeated ids make no difference.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                p = score_texts(part.column(at).to_pylist(), shared.value)
+                yield part.filter(pa.array(p < PREDICT_AT))
+
+    return docs.mapInArrow(run, docs.schema)

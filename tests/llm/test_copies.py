@@ -3,11 +3,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import copies
+from ledgerloom.llm import copies, decontaminate, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +67,19 @@ def test_stage_drops_copies_beyond_four_bits(spark):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
     roots = plain_roots(texts)
     assert kept == sorted({g: min(i for i, r in enumerate(roots) if r == g) for g in roots}.values())
+
+
+def test_stages_judge_rows_and_not_ids(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"u{rng.randint(0, 9999)}" for _ in range(60))
+    item = text()
+    rows = [(None, text()), (None, f"{text()} {item}"), (None, text()), (7, text()), (7, f"{item} {text()}"), (8, text()), (8, text())]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = lambda out: sorted(r.n for r in out.collect())
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert kept(decontaminate.clean_documents(docs, items)) == [0, 2, 3, 5, 6]
+    assert kept(corpus_pipeline.near_dedup(spark, docs, SF)) == list(range(7))
+    monkeypatch.setattr(toxicity, "PREDICT_AT", 0.5)
+    net = toxicity.fit_network([["bad word"], ["good thing"]] * 40, np.array([1, 0] * 40))
+    docs = spark.createDataFrame([(None, "bad word", 0), (None, "good thing", 1), (3, "good thing", 2), (3, "bad word", 3)], docs.schema)
+    assert kept(toxicity.accepted_documents(docs, net)) == [1, 2]
