@@ -146,6 +146,8 @@ def _search_block(rows: DataFrame, part: pa.Table, k: int) -> DataFrame:
     cut = lists.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") == k)
     cutoffs = {r.query_id: r.score for r in cut.select("query_id", "score").collect()}  # one per query of the block
     cutoff = np.array([cutoffs.get(q, -np.inf) for q in block.value.ids.tolist()])
+    # Above 2**53 the double may lie over the exact k-th score, by less than one step.
+    cutoff = np.where(np.abs(cutoff) >= 2**53, np.nextafter(cutoff, -np.inf), cutoff)
     safe = spark.sparkContext.broadcast(cutoff)
 
     def sufficient(batches):
