@@ -145,8 +145,10 @@ def shard_documents(
 
     Groups of at least 1/1024 of a shard are packed one by one: there are at most
     1024 * shards of them. Smaller groups are packed as bundles chosen by a hash of the
-    text, ``BUNDLES`` of each share 1/2, 1/4, 1/8, ... of the whole, so ever finer bundles
-    fill the last room. Only these two bounded lists reach the driver.
+    text, equally many of each share 1/2, 1/4, 1/8, ... of the whole, so ever finer bundles
+    fill the last room: ``BUNDLES`` for up to 16 shards and more in proportion, so that
+    the largest bundles have about a quarter of a shard. Only these two lists, which
+    follow the number of shards, reach the driver.
     """
     spark = docs.sparkSession
     i, t = F.col(f"`{id_column}`"), F.col(f"`{text}`")
@@ -163,12 +165,14 @@ def shard_documents(
     )
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     groups = rows.groupBy("__key").agg(F.sum("size").alias("bytes"))
-    limit = max(1, (capacity or -(-total // shards)) // LARGE_PARTS)
+    share = max(1, capacity or -(-total // shards))
+    limit = max(1, share // LARGE_PARTS)
+    width = BUNDLES * max(1, -(-total // (16 * share)))
     large = groups.filter(F.col("bytes") >= limit).collect()  # at most total / limit rows
     # The level has half the mass of the one before it; the rest of the hash picks a bundle.
     h = F.xxhash64("__key")
     level = F.least(F.length(F.bin(F.shiftrightunsigned(h, 64 - LEVELS))), F.lit(LEVELS)).cast("long")
-    bundle = (level * BUNDLES + F.pmod(h, F.lit(BUNDLES))).alias("__bundle")
+    bundle = (level * width + F.pmod(h, F.lit(width))).alias("__bundle")
     marked = spark.createDataFrame(
         [(bytes(r["__key"]), n) for n, r in enumerate(large)], "__large_key binary, __large int"
     )

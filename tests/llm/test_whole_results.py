@@ -1,9 +1,18 @@
 """Results that earlier forms cut: class members, small groups, exact cutoffs, long texts."""
 
-from ledgerloom.llm import topk
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import shards, topk
 
 
 def test_cutoff_beyond_exact_doubles(spark):
     rows = [(0, [1 / 64, 1 / 64]), (1, [2.0**47, 3 / 64])]
     found = topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=1).collect()
     assert list(map(tuple, found)) == [(0, 1, 1, 2**53 + 3)]
+
+
+def test_capacity_holds_with_many_small_groups(spark):
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lpad(F.hex("id"), 5, "0").alias("text"))
+    rows = shards.shard_documents(docs, capacity=8000).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert sum(r.s for r in rows) == 600_000
+    assert max(r.s for r in rows) <= 8000 and len(rows) <= 76
