@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Words, labelled_sample, mix, split_words
 
-SAMPLE_ROWS = 6_000
-SAMPLE_WINDOWS = 16
+SAMPLE_ROWS = 8_000
 PREDICT_AT = 0.3
 WINDOW, STRIDE = 48, 40
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
@@ -316,8 +315,8 @@ def train_toxicity(
     """Trains on about ``rows`` labelled documents (``labels``: doc_id, toxic).
 
     The sample is chosen by a hash of the id and its ids are broadcast (about ``rows``
-    numbers). Of each sampled document at most ``SAMPLE_WINDOWS`` windows, evenly spread,
-    reach the driver. The number of training steps is fixed. Without labels nothing is
+    numbers). All windows of each sampled document reach the driver, so that its worst
+    one carries the label. The number of training steps is fixed. Without labels nothing is
     rejected.
     """
     known = labelled_sample(docs.sparkSession, labels, "toxic", rows)
@@ -331,7 +330,6 @@ def train_toxicity(
                 index, mask, owner = windows_of(words.first)
                 for d in range(part.num_rows):
                     own = np.flatnonzero(owner == d)
-                    own = own[np.unique(np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int))] if len(own) else own
                     ends = [index[mask[:, w].sum() - 1, w] for w in own]
                     groups.append([
                         b" ".join(raw[words.start[j] : words.end[j]] for j in range(index[0, w], e + 1)).decode("utf-8", "ignore")

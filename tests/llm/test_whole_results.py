@@ -1,8 +1,9 @@
 """Results that earlier forms cut: class members, small groups, exact cutoffs, long texts."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import shards, topk
+from ledgerloom.llm import shards, topk, toxicity
 
 
 def test_cutoff_beyond_exact_doubles(spark):
@@ -16,3 +17,13 @@ def test_capacity_holds_with_many_small_groups(spark):
     rows = shards.shard_documents(docs, capacity=8000).groupBy("shard").agg(F.sum("size").alias("s")).collect()
     assert sum(r.s for r in rows) == 600_000
     assert max(r.s for r in rows) <= 8000 and len(rows) <= 76
+
+
+def test_training_reads_all_windows(spark, monkeypatch):
+    filler = " ".join(["plain"] * 1500)
+    docs = spark.createDataFrame([(i, f"{filler} insult {filler}" if i % 2 else filler) for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_network", lambda groups, y: seen.extend(zip(groups, np.asarray(y).tolist(), strict=True)))
+    toxicity.train_toxicity(docs, labels)
+    assert [any("insult" in w for w in g) for g, _ in seen] == [y == 1 for _, y in seen] and len(seen) == 8
