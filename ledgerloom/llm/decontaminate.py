@@ -48,7 +48,7 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
 class _Items:
     """Sketches and exact shingles of a bounded block of items."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], threshold: float, shingle_words: int) -> None:
+    def __init__(self, ids: list[list[int]], texts: list[str | None], threshold: float, shingle_words: int) -> None:
         self.threshold, self.shingle_words = threshold, shingle_words
         words = split_words(texts)
         hashes = words.hashes()
@@ -115,9 +115,9 @@ def _blocks(items: DataFrame, threshold: float, shingle_words: int, item_id: str
         items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))
         .filter(F.col("t").isNotNull())
         .groupBy("t")
-        .agg(F.min("i").alias("i"))
+        .agg(F.sort_array(F.collect_set("i")).alias("i"))
     )
-    size = classes.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    size = classes.agg(F.coalesce(F.sum(F.octet_length("t") + 8 * F.size("i")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     for n in range(blocks):
         part = classes.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n).collect()
@@ -136,12 +136,13 @@ def contained_items(
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """(doc_id, item_id, containment) of every item that a document contains.
+    """(doc_id, item_id, containment, item_ids) of every item that a document contains.
 
     Words are runs of letters and digits, lower-cased; containment is the share of the
     item's distinct shingles that occur in the whole document. An item of fewer words is
     one shingle of all its words; one without words is contained nowhere. Items of equal
-    text are one class under their smallest id. Null texts contain nothing; null ids and
+    text are one class under their smallest id; ``item_ids`` has all ids of the class (null
+    ids are in none). Null texts contain nothing; null ids and
     repeated rows are reported as they are. An empty table gives no rows.
 
     Documents are scanned once per block of items; blocks hold about ``BLOCK_BYTES`` of
@@ -149,7 +150,7 @@ def contained_items(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"))
-    schema = "doc_id long, item_id long, containment double"
+    schema = "doc_id long, item_id long, containment double, item_ids array<long>"
     out = None
     for block in _blocks(items, threshold, shingle_words, item_id, item_text):
         found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block)), schema)
@@ -169,11 +170,12 @@ def _scan(block):
                 out = []
                 for d, doc in enumerate(ids):
                     a, e = int(words.first[d]), int(words.first[d + 1])
-                    out += [(doc, items.ids[at], share) for at, share in items.contained(words, hashes, a, e)]
+                    out += [(doc, next(iter(items.ids[at]), None), share, items.ids[at]) for at, share in items.contained(words, hashes, a, e)]
                 if out:
-                    d, i_, c = zip(*out, strict=True)
+                    d, i_, c, all_ = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(d, pa.int64()), pa.array(i_, pa.int64()), pa.array(c)], names=["doc_id", "item_id", "containment"]
+                        [pa.array(d, pa.int64()), pa.array(i_, pa.int64()), pa.array(c), pa.array(all_, pa.list_(pa.int64()))],
+                        names=["doc_id", "item_id", "containment", "item_ids"],
                     )
 
     return run

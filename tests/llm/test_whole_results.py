@@ -3,7 +3,15 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import shards, topk, toxicity
+from ledgerloom.llm import queries, shards, topk, toxicity
+
+
+def test_each_item_of_a_text_is_reported(spark, tmp_path):
+    text = "one two three four five six seven"
+    spark.createDataFrame([(1, f"zero {text} eight")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, text), (2, text), (9, text), (None, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.contaminated(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(1, 2, 1.0), (1, 4, 1.0), (1, 9, 1.0)]
 
 
 def test_cutoff_beyond_exact_doubles(spark):
