@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import remove_folder, shared_folder
 
-__all__ = ["Words", "free_name", "labelled_sample", "new_stage", "remove_folder", "shared_folder", "split_words"]
+__all__ = ["Words", "free_name", "labelled_sample", "merge_best", "new_stage", "remove_folder", "shared_folder", "split_words"]
 
 
 def new_stage(df: DataFrame, purpose: str, compression: str = "zstd") -> tuple[DataFrame, str]:
@@ -48,6 +48,22 @@ def labelled_sample(spark: SparkSession, labels: DataFrame, label: str, rows: in
     return known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
 
 
+MERGE_TASKS = 64
+
+
+def merge_best(entries: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """Ranks 1..k of each key's entries, merged in a tree.
+
+    ``entries`` holds the best of each task; those of ``MERGE_TASKS`` tasks meet first, so
+    that no key gathers the lists of all tasks at once.
+    """
+    near = entries.withColumn("__task", F.floor(F.spark_partition_id() / MERGE_TASKS))
+    some = Window.partitionBy(*keys, "__task").orderBy(*order)
+    near = near.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k).drop("__task", "rank")
+    best = Window.partitionBy(*keys).orderBy(*order)
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 # Word bytes: ASCII letters and digits, and every byte of a non-ASCII character.
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[65:91] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True

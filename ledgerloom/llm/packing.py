@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterable
 
@@ -16,7 +17,6 @@ from ledgerloom.llm.tokens import END_ID, tokenizer
 
 CAPACITY = 1024
 GROUP_PIECES = 16_384
-MAX_ROUNDS = 6
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = PIECES + ", sequence_id long, offset long, exchange boolean"
@@ -86,7 +86,7 @@ def token_pieces(
 ) -> DataFrame:
     """Documents as token pieces of at most ``capacity``; only longer ones are cut.
 
-    The last piece of a cut document is the shorter one. A null or empty text is the
+    The first piece of a cut document may be the shorter one. A null or empty text is the
     single token ``end_id``.
     """
 
@@ -99,8 +99,9 @@ def token_pieces(
                 for doc, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):
                     ids += last
                     step = 4 * capacity
-                    for k, a in enumerate(range(0, len(ids), step)):
-                        cut = ids[a : a + step]
+                    first = len(ids) % step or step  # the remainder leads
+                    for k, a in enumerate([0, *range(first, len(ids), step)]):
+                        cut = ids[a : a + step] if k else ids[:first]
                         out.append((doc, k, a // 4, len(cut) // 4, zlib.crc32(cut)))
                 columns = list(zip(*out, strict=True)) if out else [()] * 5
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -130,7 +131,7 @@ def _pack(pieces: DataFrame, count: int, stage: int, capacity: int, group_pieces
         else:
             open_bins = left > 0
         return pdf.assign(
-            sequence_id=(np.int64(stage) << 56) | (np.int64(key[0]) << 24) | where, offset=offsets, exchange=open_bins[where]
+            sequence_id=(np.int64(stage) << 48) | (np.int64(key[0]) << 20) | where, offset=offsets, exchange=open_bins[where]
         )[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "exchange"]]
 
     # The round enters the hash, so that pieces meet others than before.
@@ -140,7 +141,7 @@ def _pack(pieces: DataFrame, count: int, stage: int, capacity: int, group_pieces
     return salted.groupBy(group).applyInPandas(run, _PLACED)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Places pieces into as few sequences of ``capacity`` tokens as the rounds find.
 
     ``pieces``: doc_id, piece, start, length (1..capacity), ids_crc32; repeated rows are
@@ -155,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     spark = pieces.sparkSession
     done: DataFrame | None = None
     current, count, bins, before = pieces, pieces.count(), None, None
-    for stage in range(max_rounds):
+    for stage in itertools.count():
         placed, where = new_stage(_pack(current, count, stage, capacity, group_pieces), f"packed-{stage}")
         now = placed.agg(F.count_distinct("sequence_id")).first()[0]
         if bins is not None and now >= bins:

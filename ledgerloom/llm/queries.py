@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, linededup, packing, quality, shards, simhash, tokenfile, topk, toxicity, urls
+from ledgerloom.llm import (
+    decontaminate,
+    importance,
+    lexical,
+    linededup,
+    neighbours,
+    packing,
+    quality,
+    shards,
+    simhash,
+    tokenfile,
+    topk,
+    toxicity,
+    urls,
+)
 from ledgerloom.llm.tokens import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +168,41 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = tokenfile.token_folder(spark)
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path(), where)
     return tokenfile.read_token_files(spark, where)
+
+
+@query("op11_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERM_SQL = "unnest(regexp_extract_all(translate(coalesce(text, ''), {az}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))".format(az=_AZ)
+
+
+@query(
+    "op13_lexical_search",
+    f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+    terms AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, {_TERM_SQL} AS term FROM d) x GROUP BY r, term),
+    sizes AS MATERIALIZED (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM terms GROUP BY r),
+    facts AS MATERIALIZED (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+    wanted AS MATERIALIZED (
+      SELECT i, item_id, term, count(*) AS repeats
+      FROM (SELECT i, item_id, {_TERM_SQL} AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark) b) x
+      GROUP BY i, item_id, term),
+    weights AS MATERIALIZED (
+      SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM terms GROUP BY term) f, facts),
+    scored AS (
+      SELECT i, item_id, r, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+      FROM wanted JOIN terms USING (term) JOIN weights USING (term) JOIN sizes USING (r), facts GROUP BY i, item_id, r),
+    ranked AS (
+      SELECT i, item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+      FROM scored JOIN d USING (r) WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
