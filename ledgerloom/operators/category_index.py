@@ -82,7 +82,7 @@ def build_exact(votes: DataFrame) -> DataFrame:
     )
 
 
-def _token_sets(votes: DataFrame) -> DataFrame:
+def token_sets(votes: DataFrame) -> DataFrame:
     """Votes regrouped by token set (rows without tokens have no vector)."""
     return (
         votes.withColumn("token_set", F.array_sort(F.array_distinct(tokens_of_norm("norm"))))
@@ -130,7 +130,11 @@ def _length(terms: str) -> Column:
 
 def build_docs(votes: DataFrame, idf: DataFrame) -> DataFrame:
     """K7: one row per (is_debit, token set) with its vector and its top labels."""
-    sets = _token_sets(votes)
+    return docs_of_sets(token_sets(votes), idf)
+
+
+def docs_of_sets(sets: DataFrame, idf: DataFrame) -> DataFrame:
+    """K7 from counted token sets (is_debit, token_set, category, n)."""
     top = Window.partitionBy("is_debit", "token_set").orderBy(F.desc("category"))
     labels = (
         sets.withColumn("_rank", F.row_number().over(top))

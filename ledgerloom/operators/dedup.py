@@ -37,7 +37,7 @@ def keyless(df: DataFrame) -> DataFrame:
 
 
 def find_new(
-    old: DataFrame, incoming: DataFrame, dedup_on_cold_start: bool = False
+    old: DataFrame, incoming: DataFrame, dedup_on_cold_start: bool = False, accounts: DataFrame | None = None
 ) -> DataFrame:
     """Incoming rows the ledger does not hold, first occurrence per key.
 
@@ -45,6 +45,9 @@ def find_new(
     unless ``dedup_on_cold_start``. Copies are dropped map-side first (the rank
     limit is pushed below the shuffle), then both sides meet on the full key, so no
     single account, date or repeated row can fill one task.
+
+    ``old`` may be the part of the ledger with the batch's days and accounts; ``accounts``
+    then lists all accounts of the ledgers, which tells the empty ones.
     """
     keyed = txn_key(incoming).filter(
         F.col("txn_date").isNotNull() & F.col("account").isNotNull() & F.col("amount").isNotNull()
@@ -62,7 +65,7 @@ def find_new(
 
     if dedup_on_cold_start:
         return deduplicated(keyed).drop("signature")
-    kinds = old.select(ledger_kind("account").alias("kind")).agg(F.collect_set("kind")).scalar()
+    kinds = (old if accounts is None else accounts).select(ledger_kind("account").alias("kind")).agg(F.collect_set("kind")).scalar()
     known = F.array_contains(kinds, ledger_kind("account"))
     warm = deduplicated(keyed.filter(known))
     cold = keyed.filter(~known)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import money_text, printed_number
 from ledgerloom.functions.dates import DATE_TOKEN, parse_timestamp
-from ledgerloom.functions.text import norm_text, text_or_empty
+from ledgerloom.functions.text import as_col, norm_text, text_or_empty
 
 # Fixed values of the checks.
 END_GRACE_DAYS = 5
@@ -29,48 +29,65 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
 
-def normalised_texts(statements: DataFrame) -> DataFrame:
-    """V1 / V2: normalised text per statement and whether there is any.
+def with_settings(statements: DataFrame, formats: Sequence[str] = (), patterns: Sequence[str] = ()) -> DataFrame:
+    """Statements with ``date_formats`` and ``period_patterns`` of their own.
 
-    Commas are dropped once per statement for the amount checks.
+    Both are row data, so statements of many banks are checked in one plan; the lists given
+    here stand in where a statement has no such column or no value in it.
     """
-    return statements.withColumn("norm_text", norm_text("text")).withColumn(
-        "text_no_commas", F.regexp_replace("norm_text", ",", "")
-    )
+    for name, default in (("date_formats", formats), ("period_patterns", patterns)):
+        given = F.array(*[F.lit(x) for x in default]).cast("array<string>")
+        statements = statements.withColumn(name, F.coalesce(name, given) if name in statements.columns else given)
+    return statements
+
+
+def normalised_texts(statements: DataFrame) -> DataFrame:
+    """V1 / V2: normalised text per statement; blank where there is none."""
+    return statements.withColumn("norm_text", norm_text("text"))
+
+
+def no_text(text: Column | str = "norm_text") -> Column:
+    """V2: nothing to hold the rows against."""
+    return F.coalesce(as_col(text), F.lit("")) == ""
 
 
-def period_end_in_text(text: Column, patterns: Sequence[str], formats: Sequence[str]) -> Column:
+def _end_group(pattern: Column) -> Column:
+    """Number of the group a period pattern names ``end``; NULL without one."""
+    before = F.regexp_replace(F.regexp_extract(pattern, r"(?s)^(.*?)\(\?P<end>", 1), r"(?s)\\.|\[[^\]]*\]", "")
+    groups = F.regexp_count(before, F.lit(r"\((?!\?)|\(\?P<")) + 1
+    return F.when(pattern.contains("(?P<end>"), groups.cast("int"))
+
+
+def period_end_in_text(text: Column, patterns: Column, formats: Column) -> Column:
     """End date of the first period pattern that matches and parses.
 
-    Patterns name their end date ``(?P<end>...)``; the name becomes a group number.
+    Patterns name their end date ``(?P<end>...)``; names become group numbers.
     """
-    import re
 
-    ends = []
-    for p in patterns:
-        group = re.compile(p).groupindex.get("end")
-        if group:
-            plain = re.sub(r"\?P<\w+>", "", p)
-            found = F.nullif(F.regexp_extract(text, plain, group), F.lit(""))
-            ends.append(parse_timestamp(found, list(formats)))
-    return F.coalesce(*ends, F.lit(None)) if ends else F.lit(None).cast("timestamp_ntz")
+    def read(p: Column) -> Column:
+        plain = F.replace(p, F.lit("?P<"), F.lit("?<"))
+        found = F.nullif(F.call_function("regexp_extract", text, plain, F.coalesce(_end_group(p), F.lit(0))), F.lit(""))
+        return F.when(_end_group(p).isNotNull(), parse_timestamp(found, formats))
 
+    return F.get(F.filter(F.transform(patterns, read), lambda t: t.isNotNull()), F.lit(0))
 
-def statement_end(
-    statements: DataFrame, as_of: str, patterns: Sequence[str] = (), formats: Sequence[str] = ()
-) -> DataFrame:
+
+def statement_end(statements: DataFrame, as_of: str) -> DataFrame:
     """V3: latest date a row may carry: printed end, else file end, else today, plus grace."""
     today = F.lit(as_of).cast("timestamp_ntz")
-    printed = period_end_in_text(F.col("norm_text"), patterns, formats)
+    printed = period_end_in_text(F.col("norm_text"), F.col("period_patterns"), F.col("date_formats"))
     end = F.coalesce(printed, F.col("period_end").cast("timestamp_ntz"))
     grace = F.expr(f"INTERVAL {END_GRACE_DAYS} DAYS")
-    return statements.withColumn("last_date", F.when(end.isNull(), today).otherwise(F.least(end + grace, today)))
+    dated = statements.withColumn("_end", end)
+    return dated.withColumn(
+        "last_date", F.when(F.col("_end").isNull(), today).otherwise(F.least(F.col("_end") + grace, today))
+    ).drop("_end")
 
 
-def date_reasons(formats: Sequence[str]) -> Column:
+def date_reasons(formats: Column | str = "date_formats") -> Column:
     """V4: reasons against the date, as an array with NULLs for passed checks."""
     raw = F.trim(text_or_empty("date"))
-    accepted = [*formats, *([] if ISO_PATTERN in formats else [ISO_PATTERN])]
+    accepted = F.array_union(as_col(formats), F.array(F.lit(ISO_PATTERN)))
     ts = F.when(raw != "", parse_timestamp(raw, accepted))
     d = norm_text(raw)
     token = F.regexp_extract(d, DATE_TOKEN, 0)
@@ -90,36 +107,54 @@ def date_reasons(formats: Sequence[str]) -> Column:
     )
 
 
-def _amount_present(number: Column) -> Column:
-    """Whether an amount is printed, on digit boundaries; the cheap substring test goes first."""
-    text = F.col("text_no_commas")
-    two_places = money_text(number)
-    whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
+def printed_runs(statements: DataFrame) -> DataFrame:
+    """V5: (statement_id, run) of every number a text prints, each once.
 
-    def bounded(body: Column, tail: str) -> Column:
-        return F.concat(F.lit(r"(?<!\d)\Q"), body, F.lit(r"\E" + tail + r"(?!\d)"))
+    Commas are dropped. A run is a whole stretch of digits, or two stretches with one dot
+    between them; a minus sign before the first one gives a signed run as well.
+    """
+    text = F.regexp_replace(norm_text("text"), ",", "")
+    chains = F.regexp_extract_all(text, F.lit(r"(?<!\d)-?\d+(?:\.\d+)*"), F.lit(0))
+
+    def runs(chain: Column) -> Column:
+        parts = F.split(F.ltrim(chain, F.lit("-")), r"\.")
+        pairs = F.transform(
+            F.sequence(F.lit(1), F.size(parts)),
+            lambda i: F.when(i < F.size(parts), F.concat(F.get(parts, i - 1), F.lit("."), F.get(parts, i))),
+        )
+        signed = F.transform(F.array(F.get(parts, F.lit(0)), F.get(pairs, F.lit(0))), lambda r: F.concat(F.lit("-"), r))
+        return F.concat(parts, pairs, F.when(chain.startswith("-"), signed).otherwise(F.array().cast("array<string>")))
 
-    short = F.coalesce(whole, two_places)
-    return (F.instr(text, short) > 0) & (
-        F.regexp_like(text, bounded(two_places, ""))
-        | F.coalesce(F.regexp_like(text, bounded(whole, r"(?:\.0+)?")), F.lit(False))
-    )
+    found = statements.select("statement_id", F.explode(F.array_distinct(F.flatten(F.transform(chains, runs)))).alias("run"))
+    return found.filter("run IS NOT NULL").distinct()
 
 
-def amount_reasons() -> Column:
-    """V5"""
-    debit, credit = printed_number("debit"), printed_number("credit")
-    return F.array(
-        F.when(debit.isNull() & credit.isNull(), "no_amount"),
-        F.when(
-            debit.isNotNull() & ~_amount_present(debit),
-            F.concat(F.lit("debit_not_in_source:"), _quoted(F.col("debit"))),
-        ),
-        F.when(
-            credit.isNotNull() & ~_amount_present(credit),
-            F.concat(F.lit("credit_not_in_source:"), _quoted(F.col("credit"))),
-        ),
-    )
+def amount_run(c: str) -> Column:
+    """The run that proves an amount: its digits if it is whole, else its two-place form.
+
+    A whole amount is bounded by digits only, so 20 is found in 20.50 (and in 20.00).
+    """
+    number = printed_number(c)
+    return F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(money_text(number))
+
+
+def with_amount_reasons(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """V5: adds ``amount_reasons``, an array with NULLs for passed checks.
+
+    The numbers of each text are listed once; each side of a row meets them in an equality
+    join on (statement, run), so no pattern runs per row and a long statement spreads.
+    """
+    index, out = printed_runs(statements), rows
+    for side in ("debit", "credit"):
+        found = index.select("statement_id", F.col("run").alias(f"_{side}_run"), F.lit(True).alias(f"_{side}_found"))
+        out = out.withColumn(f"_{side}_run", amount_run(side)).join(found, ["statement_id", f"_{side}_run"], "left")
+
+    def missing(side: str) -> Column:
+        absent = F.col(f"_{side}_run").isNotNull() & F.col(f"_{side}_found").isNull()
+        return F.when(absent, F.concat(F.lit(f"{side}_not_in_source:"), _quoted(F.col(side))))
+
+    none = F.when(F.col("_debit_run").isNull() & F.col("_credit_run").isNull(), "no_amount")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], F.array(none, missing("debit"), missing("credit")).alias("amount_reasons"))
 
 
 def description_overlap() -> Column:
@@ -138,17 +173,19 @@ def validate_rows(
 ) -> DataFrame:
     """V2-V7: extracted rows with ``reasons`` (empty = passed) and the soft description flag.
 
-    ``statements(statement_id, text, period_end)``. The text is read at the join and not
+    ``statements(statement_id, text, period_end)``, and ``date_formats`` / ``period_patterns``
+    where statements have settings of their own. The text is read at the join and not
     carried on, so a long statement is not copied into its rows.
     """
-    texts = statement_end(normalised_texts(statements), as_of, period_patterns, formats)
-    rows = extracted.join(texts.select("statement_id", "norm_text", "text_no_commas", "last_date"), "statement_id", "left")
-    checks = F.array_compact(F.concat(date_reasons(formats), amount_reasons()))
-    no_text = F.coalesce(F.col("norm_text"), F.lit("")) == ""
+    own = with_settings(statements, formats, period_patterns)
+    texts = statement_end(normalised_texts(own), as_of).select("statement_id", "norm_text", "last_date", "date_formats")
+    rows = with_amount_reasons(extracted, statements).join(texts, "statement_id", "left")
+    formats_known = F.coalesce("date_formats", F.array().cast("array<string>"))
+    checks = F.array_compact(F.concat(date_reasons(formats_known), F.col("amount_reasons")))
     return rows.select(
         *extracted.columns,
-        F.when(no_text, F.array(F.lit(NO_TEXT))).otherwise(checks).alias("reasons"),
-        (~no_text & (description_overlap() < MIN_TOKEN_SHARE)).alias("low_confidence"),
+        F.when(no_text(), F.array(F.lit(NO_TEXT))).otherwise(checks).alias("reasons"),
+        (~no_text() & (description_overlap() < MIN_TOKEN_SHARE)).alias("low_confidence"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -14,20 +15,22 @@ from ledgerloom.operators import cash, catalog, category_index, dedup, guard, he
 from ledgerloom.operators import messages as msg
 from ledgerloom.operators import payroll, standardize, summary, validate
 from ledgerloom.operators.categorize import categorize, suggest_rules, vocabulary
-from ledgerloom.schema import CASH_STORAGE, REVIEW, TXN, TXN_COLUMNS
+from ledgerloom.plans.booking import Books
+from ledgerloom.schema import CASH_STORAGE, DEFAULT_CATEGORY, REVIEW, TXN, TXN_COLUMNS
 from ledgerloom.sources.ledger import LedgerStore, cash_history
-from ledgerloom.sources.statements import list_statements, read_statement_rows
+from ledgerloom.sources.statements import list_statements, plain_path, read_statement_rows
+
+log = logging.getLogger(__name__)
 
 PROCESSED = T.StructType(
     [T.StructField("file_id", T.StringType()), T.StructField("max_txn_date", T.DateType())]
 )
-LABEL_CACHE = T.StructType(
-    [
-        T.StructField("norm", T.StringType()),
-        T.StructField("is_debit", T.BooleanType()),
-        T.StructField("category", T.StringType()),
-    ]
+PENDING = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("file_id", "file_name", "kind", "account", "config_key")]
+    + [T.StructField("period_end", T.DateType())]
 )
+PARSED = T.StructType([T.StructField("file_id", T.StringType()), *TXN.fields])
+FILES_PER_READ = 10_000
 FETCH_LOG = T.StructType(
     [
         T.StructField("tenant_id", T.StringType()),
@@ -46,6 +49,21 @@ class Rules:
     ignore: Sequence[dict] = field(default_factory=list)
     mirror: dict[str, str] = field(default_factory=dict)
 
+    def mirror_rows(self, store: LedgerStore, booked: DataFrame) -> None:
+        """M1-M4 for a booked batch; rows whose marker the cash ledger holds add nothing."""
+        if self.mirror:
+            bank_rows = booked.filter(dedup.ledger_kind("account") == "bank")
+            store.append("cash", cash.mirror_cash(bank_rows, self.mirror, store.read("cash", CASH_STORAGE)))
+
+
+@dataclass
+class Extracted:
+    """Rows, texts and printed totals of extracted (PDF) statements; ``statement_id`` is the file id."""
+
+    rows: DataFrame
+    statements: DataFrame
+    summaries: DataFrame | None = None
+
 
 def pending_files(
     files: DataFrame, rules: Rules, watermark: DataFrame, processed: DataFrame
@@ -57,60 +75,105 @@ def pending_files(
     return catalog.route_config(left, rules.configs)
 
 
-def new_transactions(
-    rows: DataFrame, files: DataFrame, configs: DataFrame, history: DataFrame, as_of: str,
-    ignore: Sequence[dict] = (),
-) -> DataFrame:
-    """Standard, unseen, wanted rows of the given statements."""
-    parsed = standardize.accepted(standardize.parse_statements(rows, files, configs, as_of))
-    fresh = standardize.after_watermark(parsed, guard.latest_by_account(history))
-    return dedup.drop_ignored(dedup.find_new(history, fresh.select(*TXN_COLUMNS)), ignore)
+def read_grids(spark: SparkSession, store: LedgerStore, pending: DataFrame, rules: Rules, as_of: str) -> DataFrame:
+    """S2, A1-A16 of the pending ``.csv`` files, in groups of about ``FILES_PER_READ`` files."""
+    grids = pending.filter(F.lower("file_name").endswith(".csv"))
+    groups = max(1, -(-grids.select("file_id").distinct().count() // FILES_PER_READ))
+    store.replace("parsed", spark.createDataFrame([], PARSED))
+    for n in range(groups):
+        part = grids.filter(F.pmod(F.xxhash64("file_id"), F.lit(groups)) == n)
+        paths = [r.file_id for r in part.select("file_id").distinct().collect()]  # one group's names
+        if paths:
+            rows = read_statement_rows(spark, paths).withColumn("file_id", plain_path(F.col("file_id")))
+            good = standardize.accepted(standardize.parse_statements(rows, part, rules.configs, as_of))
+            store.append("parsed", good.select(*PARSED.fieldNames()))
+    return store.read("parsed", PARSED)
+
+
+def read_extracted(
+    store: LedgerStore, pending: DataFrame, extracted: Extracted, rules: Rules, as_of: str
+) -> tuple[DataFrame, DataFrame]:
+    """N6 for the pending ``.pdf`` files: (parsed rows, files without a flagged row).
+
+    Each statement is checked with the date formats and period patterns of its own
+    configuration. Review rows the surface does not hold yet are appended (L8).
+    """
+    files = pending.filter(F.lower("file_name").endswith(".pdf")).withColumnRenamed("file_id", "statement_id")
+    settings = rules.configs.select("config_key", "date_formats", F.col("statement_period_patterns").alias("period_patterns"))
+    own = files.select("statement_id", "config_key", "period_end").join(settings, "config_key").drop("config_key")
+    statements = extracted.statements.select("statement_id", "text").join(own, "statement_id")
+    rows = extracted.rows.join(files.select("statement_id"), "statement_id", "left_semi")
+    checked = store.rewrite("checked", validate.best_attempt(validate.validate_rows(rows, statements, as_of)))
+    flags = validate.statement_flags(checked, statements, extracted.summaries)
+    named = files.select("statement_id", "account", "file_name")
+    review = validate.review_rows(checked, flags, named).select(*REVIEW.fieldNames())
+    store.append("review", review.exceptAll(store.read("review", REVIEW)))
+    txns = standard_rows(validate.passed(checked), named, statements, as_of)
+    clean = checked.groupBy("statement_id").agg(F.max(F.size("reasons")).alias("worst")).filter("worst = 0")
+    return txns.select(*PARSED.fieldNames()), clean.select(F.col("statement_id").alias("file_id"))
+
+
+def standard_rows(rows: DataFrame, files: DataFrame, settings: DataFrame, as_of: str) -> DataFrame:
+    """A6-A12 over passed extracted rows; dates by their statement's formats, then ISO."""
+    formats = F.concat(F.coalesce("date_formats", F.array().cast("array<string>")), F.array(F.lit(validate.ISO_PATTERN)))
+    good = rows.join(settings.select("statement_id", formats.alias("_formats")), "statement_id").join(
+        files.select("statement_id", "account"), "statement_id"
+    )
+    dated = standardize.parse_dates(good, "date", F.col("_formats"))
+    signed = dated.withColumn("amount", standardize.signed_amount(F.col("debit"), F.col("credit")))
+    known = standardize.drop_future(signed.filter("amount IS NOT NULL"), as_of)
+    return known.select(
+        F.col("statement_id").alias("file_id"), "txn_date", "description", "amount",
+        F.lit(DEFAULT_CATEGORY).alias("category"), F.lit("").alias("remarks"), "account",
+    )
 
 
 def incremental_ingest(
-    spark: SparkSession, store: LedgerStore, statements_path: str, rules: Rules, as_of: str
+    spark: SparkSession, store: LedgerStore, statements_path: str, rules: Rules, as_of: str,
+    extracted: Extracted | None = None, predictions: DataFrame | None = None,
 ) -> DataFrame:
     """Reads pending statements and appends what is new, categorised, per ledger.
 
-    The labelled batch is written once to a staging table; ledgers, mirror and counts
-    read that, so nothing is computed twice and a lost executor repeats only its tasks.
+    ``.csv`` files are read as grids; for ``.pdf`` files ``extracted`` holds the rows read
+    from them, which are validated first (N6). Extracted statements without a flagged row
+    are remembered with their newest day (C8), so that later runs skip them. ``predictions``
+    are labels (norm, is_debit, category) of a scorer for rows no layer settles (K19).
+
+    The labelled batch is written once and booked from that table, so nothing is computed
+    twice and a run cut short is finished by the next one.
     """
-    history = store.read_all()
-    watermark = guard.latest_by_account(history)
+    books = Books(store).open()
     processed = store.read("processed", PROCESSED)
-    pending = pending_files(list_statements(spark, statements_path), rules, watermark, processed)
-    paths = [r.file_id for r in pending.filter(F.lower("file_name").endswith(".csv")).select("file_id").collect()]
-    if not paths:
-        return spark.createDataFrame([], "ledger string, rows long")
-    # File ids of both readers are full paths; compare them without the scheme prefix.
-    plain = F.regexp_replace("file_id", "^file:/+", "/")
-    rows = read_statement_rows(spark, paths).withColumn("file_id", plain)
-    fresh = new_transactions(
-        rows, pending.withColumn("file_id", plain), rules.configs, history, as_of, rules.ignore
-    )
-    index = category_index.build_index(history, "ledgers")
-    store.replace("batch", categorize(fresh, index, rules.matchers).select(*TXN_COLUMNS, "source"))
-    batch = store.read("batch", T.StructType([*TXN.fields, T.StructField("source", T.StringType())]))
-    for kind in ("bank", "cc"):
-        store.append_ledger(kind, batch.filter(dedup.ledger_kind("account") == kind))
-    if rules.mirror:
-        cash_rows = store.read("cash", CASH_STORAGE)
-        bank_rows = batch.filter(dedup.ledger_kind("account") == "bank")
-        store.append("cash", cash.mirror_cash(bank_rows, rules.mirror, cash_rows))
-    return batch.groupBy(dedup.ledger_kind("account").alias("ledger"), "source").agg(F.count("*").alias("rows"))
+    listed = list_statements(spark, statements_path).withColumn("file_id", plain_path(F.col("file_id")))
+    pending = pending_files(listed, rules, books.watermark(), processed)
+    pending = store.rewrite("pending", pending.select(*PENDING.fieldNames()))
+    parsed, done = read_grids(spark, store, pending, rules, as_of), None
+    if extracted is not None:
+        rows, clean = read_extracted(store, pending, extracted, rules, as_of)
+        store.append("parsed", rows)
+        parsed = store.read("parsed", PARSED)
+        fresh = parsed.join(clean, "file_id", "left_semi")
+        done = catalog.update_processed(fresh, parsed.limit(0), processed)
+    booked = books.ingest(parsed, rules.matchers, rules.ignore, predictions)
+    rules.mirror_rows(store, booked)
+    if done is not None:
+        store.replace("processed", done.select(*PROCESSED.fieldNames()))
+    return booked.groupBy(dedup.ledger_kind("account").alias("ledger"), "source").agg(F.count("*").alias("rows"))
 
 
 def recategorize_job(store: LedgerStore, matchers: Sequence[dict]) -> dict[str, int]:
     """Guard, then fresh labels for unlabelled rows, then verified rewrites."""
+    Books(store).open()  # a batch cut short belongs to the ledgers
     everything = store.read_all()
     backup = store.read("backup", BACKUP) if store.location("backup") else None
     guard.assert_safe(guard.check_overwrite(everything, backup, require_baseline=True))
-    store.replace("batch", guard.recategorize(everything, matchers).select(*TXN_COLUMNS))
-    batch = store.read("batch", TXN)
-    return {
-        kind: store.overwrite_ledger(kind, batch.filter(dedup.ledger_kind("account") == kind))
+    labelled = store.rewrite("recategorized", guard.recategorize(everything, matchers).select(*TXN_COLUMNS))
+    written = {
+        kind: store.overwrite_ledger(kind, labelled.filter(dedup.ledger_kind("account") == kind))
         for kind in ("bank", "cc")
     }
+    Books(store).open()
+    return written
 
 
 def learn_rules(store: LedgerStore) -> DataFrame:
@@ -129,7 +192,10 @@ def restore_job(store: LedgerStore) -> dict[str, int]:
     backup = store.read("backup", BACKUP)
     rows = guard.restore(backup)
     guard.assert_safe(guard.check_overwrite(rows, backup, require_baseline=False))
-    return {k: store.overwrite_ledger(k, rows.filter(F.col("ledger") == k)) for k in ("bank", "cc")}
+    Books(store).open()
+    written = {k: store.overwrite_ledger(k, rows.filter(F.col("ledger") == k)) for k in ("bank", "cc")}
+    Books(store).open()
+    return written
 
 
 def daily(
@@ -142,7 +208,8 @@ def daily(
     error = None
     try:
         incremental_ingest(spark, store, statements_path, rules, as_of)
-    except Exception as e:  # reported in the verdict
+    except Exception as e:  # reported in the verdict, and whole in the log
+        log.exception("ingest failed")
         error = str(e).split("\n")[0]
     latest = guard.latest_overall(store.read_all()).select(
         F.lit(tenant).alias("tenant_id"), "latest", F.lit(error).cast("string").alias("pipeline_error"),
@@ -157,19 +224,14 @@ def validate_extracted(
 ) -> tuple[DataFrame, DataFrame]:
     """(standard transactions of passed rows, review rows) of the best attempts.
 
-    ``files(statement_id, account, file_name)``.
+    ``files(statement_id, account, file_name)``. Statements with columns ``date_formats``
+    and ``period_patterns`` follow their own settings, others the ones given here.
     """
-    checked = validate.best_attempt(
-        validate.validate_rows(extracted, statements, as_of, formats, period_patterns)
-    )
+    statements = validate.with_settings(statements, formats, period_patterns)
+    checked = validate.best_attempt(validate.validate_rows(extracted, statements, as_of))
     flags = validate.statement_flags(checked, statements, summaries)
-    iso = [*formats, validate.ISO_PATTERN]
-    good = standardize.parse_dates(validate.passed(checked), "date", iso).join(
-        files.select("statement_id", "account"), "statement_id"
-    )
-    txns = standardize.conform(good.withColumn("amount", standardize.signed_amount(F.col("debit"), F.col("credit"))))
     review = validate.review_rows(checked, flags, files).select(*REVIEW.fieldNames())
-    return standardize.drop_future(txns, as_of), review
+    return standard_rows(validate.passed(checked), files, statements, as_of).select(*TXN_COLUMNS), review
 
 
 def payroll_split(

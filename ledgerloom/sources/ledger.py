@@ -169,6 +169,39 @@ class TableStore:
         self._publish(name, gen)
         return written
 
+    def rewrite(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes a derived table over its last version and reads it back.
+
+        What can be derived again is not counted and read back for proof.
+        """
+        gen = self.generation(name) + 1
+        self._write(df, f"{self.root}/{name}/gen-{gen}", "overwrite", [])
+        self._publish(name, gen)
+        return self.read(name, df.schema)
+
+    def put_partitions(self, name: str, df: DataFrame, partition_by: list[str]) -> None:
+        """Writes whole partitions: those in ``df`` are replaced, the others keep their files."""
+        where = self.location(name)
+        if where is None:
+            self.replace(name, df, partition_by)
+        else:
+            df = df.hint("rebalance", *partition_by)
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(where)
+
+    def partition_bytes(self, name: str, column: str) -> dict[str, int]:
+        """Bytes of each partition of the first partition column."""
+        where, fs = self.location(name), self._fs()
+        if where is None:
+            return {}
+        found = fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(where))
+        names = {s.getPath().getName(): s.getPath() for s in found}
+        prefix = f"{column}="
+        return {n.removeprefix(prefix): fs.getContentSummary(p).getLength() for n, p in names.items() if n.startswith(prefix)}
+
+    def generation(self, name: str) -> int:
+        """Number of the published generation, 0 before the first write."""
+        return (self._generations(name) or [0])[-1]
+
     def _observed_write(self, df: DataFrame, where: str, partition_by: list[str]) -> int:
         from pyspark.sql import Observation
 
@@ -201,9 +234,12 @@ LEDGER_TABLE = T.StructType([*TXN.fields, T.StructField("month", T.StringType())
 class LedgerStore(TableStore):
     """Bank and card ledgers partitioned by month, plus the side tables."""
 
-    def read_ledger(self, kind: str) -> DataFrame:
-        """S3"""
-        return self.read(f"ledger-{kind}", LEDGER_TABLE).drop("month")
+    def read_ledger(self, kind: str, months: list[str] | None = None) -> DataFrame:
+        """S3; with ``months`` only their partitions are read."""
+        rows = self.read(f"ledger-{kind}", LEDGER_TABLE)
+        if months is not None:
+            rows = rows.filter(F.col("month").isin(months))
+        return rows.drop("month")
 
     def read_all(self) -> DataFrame:
         """S4"""

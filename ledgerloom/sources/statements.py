@@ -39,6 +39,21 @@ def _cells(record: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(plain)
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path as its id: readers write the local scheme in different ways."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def explode_records(files: DataFrame) -> DataFrame:
+    """S2 for files at hand: ``value`` holds a file's whole text."""
+    text = F.regexp_replace("value", "\r\n?", "\n")
+    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), 0), lambda r: r != "")
+    return (
+        files.select("file_id", "file_name", F.posexplode(records).alias("row_no", "record"))
+        .select("file_id", "file_name", F.col("row_no").cast("long").alias("row_no"), _cells(F.col("record")).alias("cells"))
+    )
+
+
 def read_statement_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of every file as arrays of text, preamble included, no header.
 
@@ -46,14 +61,7 @@ def read_statement_rows(spark: SparkSession, paths: str | list[str]) -> DataFram
     line counts, blank ones included, and quoted line breaks stay inside their cell.
     Records may have any number of cells. A statement is a document of bounded size.
     """
-    text = F.regexp_replace("value", "\r\n?", "\n")
-    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), 0), lambda r: r != "")
-    return (
+    return explode_records(
         spark.read.option("pathGlobFilter", "*.csv").text(paths, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("file_id"),
-            F.col("_metadata.file_name").alias("file_name"),
-            F.posexplode(records).alias("row_no", "record"),
-        )
-        .select("file_id", "file_name", F.col("row_no").cast("long").alias("row_no"), _cells(F.col("record")).alias("cells"))
+        .select("value", F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_name").alias("file_name"))
     )
