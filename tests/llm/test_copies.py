@@ -48,9 +48,9 @@ def planted(seed):
     return texts
 
 
-@pytest.mark.parametrize("common", [3, 10**9])
-def test_near_copies_equal_brute_force(spark, monkeypatch, common):
-    monkeypatch.setattr(copies, "COMMON_IN_SAMPLE", common)
+@pytest.mark.parametrize("tile", [4096, 5])
+def test_near_copies_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(copies, "TILE", tile)  # small tiles: many chunks a key, and common keys
     texts = planted(4)
     frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
     found = {r.row: r.root for r in copies.near_copies(frame).collect()}
