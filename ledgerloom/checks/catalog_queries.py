@@ -177,12 +177,14 @@ def _written_statements(t: Inputs) -> str:
 
 @query(
     "s1_list_statements",
-    with_views("stmt_cells") + "SELECT DISTINCT CAST(statement_id % 7 AS STRING) AS folder, CAST(1 AS BIGINT) AS files FROM stmt_cells",
+    with_views("stmt_cells")
+    + """SELECT CAST(statement_id % 7 AS STRING) AS folder, count(DISTINCT statement_id // 5000) AS files FROM stmt_cells GROUP BY 1""",
 )
 def _(t: Inputs):
-    where = shared_folder(t.spark, "statement-folders")
-    rows = t.stmt_cells.select("description", "amount_text", (F.col("statement_id") % 7).alias("folder"))
-    rows.repartition("folder").write.partitionBy("folder").csv(where)
+    # A file for each folder and 5,000 statement numbers: tasks stay small and the listing grows.
+    where, run = shared_folder(t.spark, "statement-folders"), F.floor(F.col("statement_id") / 5000)
+    rows = t.stmt_cells.select("description", "amount_text", (F.col("statement_id") % 7).alias("folder"), run.alias("run"))
+    rows.repartition("folder", "run").write.partitionBy("folder", "run").csv(where)
     files = list_statements(t.spark, where).filter(F.col("file_name").endswith(".csv") & (F.col("length") > 0))
     return files.groupBy(F.regexp_extract("file_id", "folder=([^/]*)/", 1).alias("folder")).agg(F.count("*").alias("files"))
 

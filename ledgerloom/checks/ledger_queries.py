@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.checks.fragments import HISTORY, MIRROR, RULES, labelled, with_views
+from ledgerloom.checks.fragments import DOCS, EXACT, HISTORY, IDF, MIRROR, RULES, VOTES, labelled, norm, queries_of, rule_case, with_views
 from ledgerloom.checks.registry import query
 from ledgerloom.checks.views import AS_OF, Inputs
 from ledgerloom.functions import amounts, text
@@ -50,11 +50,11 @@ _ID = "sha256(strftime(txn_date, '%Y-%m-%d') || '-' || account || '-' || CAST(am
     + f"""SELECT txn_date, description, amount, category, remarks, account, {_ID} AS id FROM (
   SELECT *, row_number() OVER (PARTITION BY {_ID} ORDER BY gen DESC, txn_date DESC, account DESC, amount DESC, description DESC, category DESC, remarks DESC) AS rk
   FROM (SELECT txn_date, description, amount, 'Old' AS category, remarks, account, 0 AS gen FROM history
-        UNION ALL SELECT txn_date, description, amount, category, remarks, account, 1 FROM ledger WHERE account LIKE 'bank%') g) r WHERE rk = 1""",
+        UNION ALL SELECT txn_date, description, amount, category, remarks, account, 1 FROM ledger) g) r WHERE rk = 1""",
 )
 def _(t: Inputs):
     old = guard.backup_id(t.history.withColumn("category", F.lit("Old")))
-    return guard.backup_upsert(t.ledger.filter("account LIKE 'bank%'"), old)
+    return guard.backup_upsert(t.ledger, old)
 
 
 @query(
@@ -65,20 +65,25 @@ def _(t: Inputs):
     return guard.restore(t.ledger)
 
 
+_TODO = f"""todo AS (
+  SELECT *, {norm('description')} AS norm, amount < 0 AS is_debit, {rule_case()} AS by_rule FROM ledger WHERE NOT {labelled()})"""
+_TODO_KEYS = "SELECT DISTINCT norm, is_debit FROM todo"
+
+
 @query(
     "l11_recategorize",
-    _LEDGER + f"SELECT account, count(*) AS rows, count(*) FILTER (WHERE {labelled()}) AS labelled FROM ledger GROUP BY account",
+    with_views("ledger", extra=("history AS (SELECT * FROM ledger)", VOTES, EXACT, IDF, DOCS, _TODO, queries_of(_TODO_KEYS)))
+    + f"""SELECT txn_date, account, description, amount, category, remarks FROM ledger WHERE {labelled()}
+UNION ALL
+SELECT txn_date, account, description, amount, category, CASE WHEN low THEN 'REVIEW: low-confidence auto-category'
+  WHEN category = 'Uncategorized' THEN 'REVIEW: auto-categorization uncertain' ELSE '' END AS remarks
+FROM (SELECT t.*, coalesce(e.category, t.by_rule, f.category, 'Uncategorized') AS category,
+        e.category IS NULL AND t.by_rule IS NULL AND f.category IS NOT NULL AS low
+      FROM (SELECT txn_date, account, description, amount, norm, is_debit, by_rule FROM todo) t
+      LEFT JOIN exact e ON e.norm = t.norm AND e.is_debit = t.is_debit LEFT JOIN fuzzy f ON f.norm = t.norm AND f.is_debit = t.is_debit) x""",
 )
 def _(t: Inputs):
-    # Rows and former labels are kept; which new labels arise is what K14 checks.
-    done = guard.recategorize(t.ledger, RULES)
-    before = dedup.labelled(t.ledger)
-    kept = done.join(before.select("txn_date", "account", "amount", "description", "category").distinct(),
-                     ["txn_date", "account", "amount", "description", "category"], "left_semi")
-    rows = done.groupBy("account").agg(F.count("*").alias("rows"))
-    return rows.join(kept.groupBy("account").agg(F.count("*").alias("labelled")), "account", "left").select(
-        "account", "rows", F.coalesce("labelled", F.lit(0)).alias("labelled")
-    )
+    return guard.recategorize(t.ledger, RULES).select("txn_date", "account", "description", "amount", "category", "remarks")
 
 
 _MARK = """'auto:' || account || ':' || strftime(txn_date, '%Y-%m-%d') || ':' || CAST(amount AS STRING) || ':' ||
@@ -183,6 +188,7 @@ def _(t: Inputs):
     return validate.count_sanity(counts, t.stmt_text)
 
 
+_SAID = "'txns {0} ' || CAST(CAST({1} AS DECIMAL(28,2)) AS STRING) || ' vs {2} ' || CAST(CAST({3} AS DECIMAL(28,2)) AS STRING)"
 _NEAR = "abs({0} - {1}) <= greatest(2.0, 0.0025 * abs({1}))"
 
 
@@ -198,12 +204,12 @@ j AS (
          abs(TRY_CAST(nullif(closing_balance, '') AS DECIMAL(18,2)) - TRY_CAST(replace(nullif(opening_balance, ''), ',', '') AS DECIMAL(18,2))) AS net
   FROM summaries s LEFT JOIN sums USING (statement_id)),
 m AS (SELECT *, td IS NOT NULL AND tc IS NOT NULL AND (net IS NULL OR {_NEAR.format('abs(td - tc)', 'net')}) AS sides FROM j)
-SELECT statement_id, 'debit' AS side FROM m WHERE (sides OR (net IS NULL AND td IS NOT NULL)) AND NOT ({_NEAR.format('sd', 'td')})
-UNION ALL SELECT statement_id, 'credit' FROM m WHERE (sides OR (net IS NULL AND tc IS NOT NULL)) AND NOT ({_NEAR.format('sc', 'tc')})
-UNION ALL SELECT statement_id, 'net' FROM m WHERE NOT sides AND net IS NOT NULL AND NOT ({_NEAR.format('abs(sd - sc)', 'net')})""",
+SELECT statement_id, 'debit' AS side, {_SAID.format('sum', 'sd', 'statement', 'td')} AS message FROM m WHERE (sides OR (net IS NULL AND td IS NOT NULL)) AND NOT ({_NEAR.format('sd', 'td')})
+UNION ALL SELECT statement_id, 'credit', {_SAID.format('sum', 'sc', 'statement', 'tc')} FROM m WHERE (sides OR (net IS NULL AND tc IS NOT NULL)) AND NOT ({_NEAR.format('sc', 'tc')})
+UNION ALL SELECT statement_id, 'net', {_SAID.format('net', 'abs(sd - sc)', 'balances', 'net')} FROM m WHERE NOT sides AND net IS NOT NULL AND NOT ({_NEAR.format('abs(sd - sc)', 'net')})""",
 )
 def _(t: Inputs):
-    return validate.reconcile(t.extracted, t.summaries).select("statement_id", "side")
+    return validate.reconcile(t.extracted, t.summaries)
 
 
 @query(
@@ -211,14 +217,14 @@ def _(t: Inputs):
     _VALID
     + """, flags AS (
   SELECT statement_id, count(*) FILTER (WHERE coalesce(r1, r2, r3, r4) IS NOT NULL) AS b1 FROM checked GROUP BY 1)
-SELECT statement_id, CAST(CASE WHEN b1 > 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt, count(*) AS rows
-FROM flags JOIN checked USING (statement_id) GROUP BY 1, 2""",
+SELECT statement_id, CAST(CASE WHEN b1 > 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt, l_partkey, l_suppkey, date, debit, credit
+FROM flags JOIN checked USING (statement_id)""",
 )
 def _(t: Inputs):
     # The second attempt carries no amounts or dates to doubt, so it flags nothing.
     first = _validated(t, t.extracted.withColumn("attempt", F.lit(1)))
     second = first.withColumn("attempt", F.lit(2)).withColumn("reasons", F.slice("reasons", 1, 0))
-    return validate.best_attempt(first.unionByName(second)).groupBy("statement_id", "attempt").agg(F.count("*").alias("rows"))
+    return validate.best_attempt(first.unionByName(second)).select("statement_id", "attempt", "l_partkey", "l_suppkey", "date", "debit", "credit")
 
 
 @query(
@@ -271,13 +277,17 @@ def _(t: Inputs):
     "h3_evaluate_health",
     with_views("fetch_log")
     + """, s AS (SELECT tenant_id, max(attempt_date) FILTER (WHERE new_count > 0) AS found, max(attempt_date) AS latest FROM fetch_log GROUP BY 1)
-SELECT tenant_id, found IS NOT NULL AND DATE '1998-08-15' - found <= 45 AND DATE '1998-08-15' - latest <= 45 AS is_up FROM s""",
+SELECT tenant_id, fetch_note IS NULL AND txn_note IS NULL AS is_up,
+  CASE WHEN fetch_note IS NULL AND txn_note IS NULL THEN 'OK | +0 pdfs | latest txn ' || CAST(latest AS STRING) ELSE concat_ws('; ', fetch_note, txn_note) END AS message
+FROM (SELECT *, CASE WHEN found IS NULL THEN 'no statement PDF ever fetched' WHEN DATE '1998-08-15' - found > 45
+               THEN 'no new statement in ' || (DATE '1998-08-15' - found) || 'd' END AS fetch_note,
+             CASE WHEN DATE '1998-08-15' - latest > 45 THEN 'latest txn ' || (DATE '1998-08-15' - latest) || 'd old' END AS txn_note FROM s) x""",
 )
 def _(t: Inputs):
     status = health.fetch_status(t.fetch_log)
     latest = t.fetch_log.groupBy("tenant_id").agg(F.max("attempt_date").alias("latest")).withColumn("pipeline_error", F.lit(""))
     verdicts = health.evaluate_health(latest.withColumn("new_count", F.lit(0).cast("long")), status, "1998-08-15")
-    return verdicts.select("tenant_id", "is_up")
+    return verdicts.select("tenant_id", "is_up", "message")
 
 
 _SPLITS = {
@@ -383,6 +393,164 @@ def _(t: Inputs):
     return ledger_from_storage(standardize.to_storage(t.ledger))
 
 
-@query("f1_display_number", with_views("holding_cells") + "SELECT tenant_id, TRY_CAST(replace(invested, '₹', '') AS DECIMAL(28,2)) AS invested FROM holding_cells")
+_SHOWN = "TRY_CAST(replace(replace(replace({0}, '₹', ''), '−', '-'), '%', '') AS DECIMAL(28,2))"
+
+
+@query(
+    "f1_display_number",
+    with_views("holding_cells")
+    + "SELECT tenant_id, " + ", ".join(f"{_SHOWN.format(c)} AS {c}" for c in ("invested", "value", "xirr", "profit_pct")) + " FROM holding_cells",
+)
+def _(t: Inputs):
+    shown = [amounts.display_number(c).cast("decimal(28,2)").alias(c) for c in ("invested", "value", "xirr", "profit_pct")]
+    return t.holding_cells.select("tenant_id", *shown)
+
+
+@query(
+    "f2_format_inr",
+    with_views("holding_cells")
+    + f"""SELECT tenant_id, CASE WHEN v IS NULL THEN '—'
+  WHEN abs(v) >= 10000000 THEN '₹' || CAST(CAST(v / 10000000.0 AS DECIMAL(28,2)) AS STRING) || ' Cr'
+  WHEN abs(v) >= 100000 THEN '₹' || CAST(CAST(v / 100000.0 AS DECIMAL(28,2)) AS STRING) || ' L'
+  ELSE '₹' || format('{{:,}}', CAST(round_even(v, 0) AS BIGINT)) END AS shown
+FROM (SELECT tenant_id, unnest([{_SHOWN.format('invested')}, CAST({_SHOWN.format('value')} / 1000 AS DECIMAL(28,2))]) AS v FROM holding_cells) h""",
+)
+def _(t: Inputs):
+    both = F.array(*[c.cast("decimal(28,2)") for c in (amounts.display_number("invested"), amounts.display_number("value") / 1000)])
+    return t.holding_cells.select("tenant_id", F.explode(both).alias("v")).select("tenant_id", amounts.format_inr("v").alias("shown"))
+
+
+@query(
+    "f3_format_pct",
+    with_views("holding_cells")
+    + f"SELECT tenant_id, coalesce(CAST({_SHOWN.format('xirr')} AS STRING) || '%', '—') AS xirr, coalesce(CAST({_SHOWN.format('profit_pct')} AS STRING) || '%', '—') AS profit_pct FROM holding_cells",
+)
+def _(t: Inputs):
+    return t.holding_cells.select("tenant_id", *[amounts.format_pct(c).alias(c) for c in ("xirr", "profit_pct")])
+
+
+@query(
+    "h2_days_since",
+    with_views("payslips")
+    + "SELECT tenant_id, period, CAST(DATE '1998-08-15' - TRY_CAST(date_of_payment AS DATE) AS INTEGER) AS days FROM payslips",
+)
+def _(t: Inputs):
+    return t.payslips.select("tenant_id", "period", health.days_since("date_of_payment", "1998-08-15").alias("days"))
+
+
+_BANKS = [
+    (0, ["dd/MM/yyyy"], [r"(?P<start>\d{2}/\d{2}/\d{4}) - (?P<end>\d{2}/\d{2}/\d{4})"]),
+    (1, [], [r"nothing (?P<end>x)", r"from (\d\d) until (?P<end>\S+)"]),
+]
+
+
+def _bank_statements(t: Inputs):
+    """Statements with the date formats and period patterns of their bank."""
+    settings = t.spark.createDataFrame(_BANKS, "bank int, date_formats array<string>, period_patterns array<string>")
+    return t.bank_texts.withColumnRenamed("head", "text").join(F.broadcast(settings), "bank")
+
+
+_ENDS = f"""ends AS (
+  SELECT *, CASE WHEN trim(head) = '' OR statement_id % 5 = 0 THEN NULL
+    WHEN bank = 0 THEN CAST(strptime(regexp_extract(head, '- ([0-9/]+)', 1), '%d/%m/%Y') AS DATE)
+    ELSE CAST(regexp_extract(head, 'until ([0-9-]+)', 1) AS DATE) END AS printed FROM bank_texts),
+dated AS (
+  SELECT *, CASE WHEN coalesce(printed, period_end) IS NULL THEN DATE '{AS_OF}'
+    ELSE least(CAST(coalesce(printed, period_end) + INTERVAL 5 DAY AS DATE), DATE '{AS_OF}') END AS last_date FROM ends)"""
+
+
+@query("v2_no_text", with_views("bank_texts") + "SELECT statement_id FROM bank_texts WHERE trim(head) = ''")
+def _(t: Inputs):
+    return validate.normalised_texts(_bank_statements(t)).filter(validate.no_text()).select("statement_id")
+
+
+@query("v3_statement_end", with_views("bank_texts", extra=(_ENDS,)) + "SELECT statement_id, last_date FROM dated")
+def _(t: Inputs):
+    ends = validate.statement_end(validate.normalised_texts(_bank_statements(t)), AS_OF)
+    return ends.select("statement_id", F.col("last_date").cast("date").alias("last_date"))
+
+
+@query(
+    "v4_date_checks",
+    with_views("bank_texts", "bank_rows", extra=(_ENDS,))
+    + """SELECT statement_id, l_partkey, l_suppkey, concat_ws('; ',
+  CASE WHEN r.date = 'someday' THEN 'date_unparseable:' || chr(39) || 'someday' || chr(39) END,
+  CASE WHEN r.date <> 'someday' AND position(r.date IN head) = 0 THEN 'date_not_in_source:' || chr(39) || r.date || chr(39) END,
+  CASE WHEN r.date <> 'someday' AND r.day > last_date THEN 'date_after_end:' || CAST(r.day AS STRING) || '>' || CAST(last_date AS STRING) END) AS reasons
+FROM bank_rows r JOIN dated USING (statement_id)""",
+)
+def _(t: Inputs):
+    ends = validate.statement_end(validate.normalised_texts(_bank_statements(t)), AS_OF)
+    rows = t.bank_rows.join(ends.select("statement_id", "norm_text", "last_date", "date_formats"), "statement_id")
+    reasons = F.array_join(F.array_compact(validate.date_reasons("date_formats")), "; ")
+    return rows.select("statement_id", "l_partkey", "l_suppkey", reasons.alias("reasons"))
+
+
+@query(
+    "v5_amount_checks",
+    _VALID + "SELECT statement_id, l_partkey, l_suppkey, debit, credit, concat_ws('; ', r3, r4) AS reasons FROM checked",
+)
+def _(t: Inputs):
+    rows = validate.with_amount_reasons(t.extracted, t.stmt_text)
+    reasons = F.array_join(F.array_compact("amount_reasons"), "; ")
+    return rows.select("statement_id", "l_partkey", "l_suppkey", "debit", "credit", reasons.alias("reasons"))
+
+
+_PRINTED = "coalesce(abs(TRY_CAST(replace({0}, '₹', '') AS DECIMAL(28,2))), 0)"
+_SLIP = ("net_pay", "basic", "hra", "gsus_income")
+
+
+@query(
+    "p1_coerce_payslip",
+    with_views("payslips") + "SELECT tenant_id, period, " + ", ".join(f"{_PRINTED.format(c)} AS {c}" for c in _SLIP) + " FROM payslips",
+)
+def _(t: Inputs):
+    return payroll.coerce_payslip(t.payslips, _SLIP).select("tenant_id", "period", *_SLIP)
+
+
+@query(
+    "p2_payroll_inputs",
+    with_views("payslips")
+    + f"""SELECT tenant_id, period, label, CAST(round_even(value, 0) AS BIGINT) AS value FROM (
+  SELECT tenant_id, period, 'Gross' AS label, {_PRINTED.format('basic')} + {_PRINTED.format('hra')} AS value FROM payslips
+  UNION ALL SELECT tenant_id, period, 'Half GSU', {_PRINTED.format('gsus_income')} * 0.5 FROM payslips) p""",
+)
+def _(t: Inputs):
+    slips = payroll.coerce_payslip(t.payslips, _SLIP).select("tenant_id", "period", *_SLIP)
+    return payroll.payroll_inputs(slips, {"Gross": "basic + hra", "Half GSU": "gsus_income * 0.5"})
+
+
+_MONTHS = (
+    "block AS (SELECT tenant_id, CAST(year AS STRING) || '-' || m AS period, label, value FROM ("
+    + " UNION ALL ".join(f"SELECT tenant_id, year, label, '{m:02d}' AS m, m{m:02d} AS value FROM payroll_grid" for m in range(1, 13))
+    + ") g WHERE value IS NOT NULL)"
+)
+_RESIDUAL = """residuals AS (
+  SELECT tenant_id, period, CAST(sum(CASE label WHEN 'GSU Value' THEN value WHEN 'Credited GSU Value' THEN -value WHEN 'Taxed GSU Value' THEN -value ELSE 0 END) AS DECIMAL(28,2)) AS residual
+  FROM block GROUP BY 1, 2)"""
+_GSU = ("GSU Value", "Credited GSU Value", "Taxed GSU Value")
+
+
+@query(
+    "p5_rounding_residual",
+    with_views("payroll_grid", extra=(_MONTHS, _RESIDUAL)) + "SELECT tenant_id, period, residual FROM residuals",
+)
+def _(t: Inputs):
+    return payroll.rounding_residual(payroll.payroll_block(t.payroll_grid), *_GSU)
+
+
+@query(
+    "p6_net_pay_guard",
+    with_views("payroll_grid", "payslips", extra=(_MONTHS, _RESIDUAL))
+    + f""", sums AS (
+  SELECT tenant_id, period, sum(CASE WHEN label = 'Total Salary' THEN value ELSE -value END) AS s FROM block
+  WHERE abs(value) >= 0.5 AND label IN ('Total Salary', 'Total Tax', 'Small Savings') GROUP BY 1, 2),
+d AS (
+  SELECT p.tenant_id, p.period, {_PRINTED.format('net_pay')} AS net, coalesce(s, 0) - coalesce(residual, 0) - {_PRINTED.format('net_pay')} AS difference
+  FROM payslips p LEFT JOIN sums USING (tenant_id, period) LEFT JOIN residuals USING (tenant_id, period))
+SELECT tenant_id, period, CAST(difference AS DECIMAL(28,2)) AS difference, abs(difference) <= greatest(1, 0.001 * abs(net)) AS accepted FROM d""",
+)
 def _(t: Inputs):
-    return t.holding_cells.select("tenant_id", amounts.display_number("invested").cast("decimal(28,2)").alias("invested"))
+    block = payroll.payroll_block(t.payroll_grid)
+    slips = payroll.coerce_payslip(t.payslips, ["net_pay"])
+    return payroll.net_pay_guard(payroll.split_payroll(block, _SPLITS), slips, payroll.rounding_residual(block, *_GSU))

@@ -15,6 +15,7 @@ HISTORY_END = "2000-01-01"
 _ACCOUNT = "(CASE WHEN l_linestatus = 'O' THEN 'bank-' ELSE 'cc-' END) || lower(replace(p_brand, '#', ''))"
 _AMOUNT = "CAST(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE -l_extendedprice END AS DECIMAL(18,2))"
 _PRICE = "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING)"
+_SLASHED = "lpad(CAST(day({0}) AS STRING), 2, '0') || '/' || lpad(CAST(month({0}) AS STRING), 2, '0') || '/' || CAST(year({0}) AS STRING)"
 _PARTS = "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
 
 VIEWS: dict[str, str] = {
@@ -62,6 +63,19 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_returnflag <> 'R' THEN CAST(CAST(CASE WHEN l_partkey % 11 = 0 THEN l_extendedprice * 10 ELSE l_extendedprice END AS DECIMAL(18,2)) AS STRING) ELSE '' END AS debit,
                CASE WHEN l_returnflag = 'R' THEN {_PRICE} ELSE '' END AS credit
         {_PARTS}""",
+    # Statements of two banks with formats and period lines of their own; some have no text.
+    "bank_texts": f"""
+        SELECT l_orderkey AS statement_id, l_orderkey % 2 AS bank,
+               CASE WHEN l_orderkey % 11 = 0 THEN ' ' WHEN l_orderkey % 5 = 0 THEN 'No period here' WHEN l_orderkey % 2 = 0
+                    THEN 'Statement Period 01/01/1990 - ' || {_SLASHED.format('MIN(l_shipdate)')} || ' end'
+                    ELSE 'from 01 until ' || CAST(CAST(MIN(l_shipdate) AS DATE) AS STRING) END AS head,
+               CASE WHEN l_orderkey % 3 = 0 THEN CAST(NULL AS DATE) ELSE CAST(MAX(l_shipdate) AS DATE) END AS period_end
+        FROM {{lineitem}} GROUP BY l_orderkey""",
+    "bank_rows": f"""
+        SELECT l_orderkey AS statement_id, l_partkey, l_suppkey,
+               CASE WHEN l_suppkey % 9 = 0 THEN 'someday' WHEN l_orderkey % 2 = 0 THEN {_SLASHED.format('l_shipdate')} ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS date,
+               CAST(l_shipdate AS DATE) AS day
+        FROM {{lineitem}}""",
     "files": """
         SELECT o_orderkey AS file_id,
                CASE WHEN o_orderkey % 10 = 9 THEN 'notes-' || CAST(o_orderkey AS STRING) || '.csv'
@@ -87,8 +101,8 @@ VIEWS: dict[str, str] = {
     "stored_names": """
         SELECT DISTINCT
                (CASE WHEN o_custkey % 2 = 0 THEN 'bank-a-' ELSE 'cc-b-' END) || CAST(year(o_orderdate) AS STRING) || '-' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0')
-               || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '_copy' || CAST(o_orderkey % 6 AS STRING) END || '.pdf' AS file_name
-        FROM {orders} WHERE o_orderkey % 17 = 0""",
+               || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '_copy' || CAST(2 * (o_orderkey % 6) AS STRING) END || '.pdf' AS file_name
+        FROM {orders}""",
     # One grid per order: preamble, header, data rows; every fifth is packed with '~',
     # every tenth has an unknown header. Data rows start at row 100.
     "stmt_grid": f"""

@@ -67,7 +67,7 @@ def datetime_pattern(fmt: str) -> str:
     return re.sub(r"%[A-Za-z]|[A-Za-z]+", piece, fmt)
 
 
-def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
     """``fn(value)`` with the value computed once, however often ``fn`` reads it."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
@@ -77,7 +77,7 @@ def _attempt(text: Column, pattern: Column, two_digit_year: Column | bool) -> Co
     if two_digit_year is False:
         return ts
     century_off = F.lit(True) if two_digit_year is True else two_digit_year
-    return _bind(
+    return bind(
         ts, lambda t: F.when(century_off & (F.year(t) > PIVOT_YEAR), t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
     )
 
@@ -117,7 +117,7 @@ def outline(text: Column) -> Column:
 def _inferred(text: Column) -> Column:
     """The cell read by the inference pattern of its outline: one attempt a cell."""
     known = F.create_map(*[F.lit(x) for p in reversed(INFERENCE_PATTERNS) for x in (outline_of(p), p)])
-    return _bind(
+    return bind(
         F.try_element_at(known, outline(text)),
         lambda p: _attempt(text, p, p.contains("yy") & ~p.contains("yyyy")),
     )
@@ -139,7 +139,7 @@ def parse_timestamp(
             fits += [_inferred(t) for t in candidates]
         return F.coalesce(*[f for f in fits if f is not None])
 
-    return _bind(F.regexp_replace(F.btrim(as_col(c), F.lit("' ")), r"\s+", " "), read)
+    return bind(F.regexp_replace(F.btrim(as_col(c), F.lit("' ")), r"\s+", " "), read)
 
 
 def parse_date(c: Column | str, patterns: Column | Sequence[str] = (), infer: bool = True) -> Column:

@@ -259,10 +259,14 @@ def cash_intake(
     return label_cash(msg.cash_transactions(kept), stored_cash, matchers)
 
 
-def label_cash(entries: DataFrame, stored_cash: DataFrame, matchers: Sequence[dict], *keep: str) -> DataFrame:
-    """T5: categories from cash history; the sender's label replaces the review remark."""
-    index = category_index.build_index(cash_history(stored_cash), "global")
-    done = categorize(entries, index, matchers)
+def label_cash(
+    entries: DataFrame, stored_cash: DataFrame, matchers: Sequence[dict], *keep: str, index: category_index.CategoryIndex | None = None
+) -> DataFrame:
+    """T5: categories from cash history; the sender's label replaces the review remark.
+
+    ``index`` is the stored index of that history, where the caller keeps one.
+    """
+    done = categorize(entries, index or category_index.build_index(cash_history(stored_cash), "global"), matchers)
     stored = standardize.to_storage(done.withColumn("remarks", F.coalesce("label", F.lit(""))), *keep)
     return stored.drop("Account")
 

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators import messages as msg
+from ledgerloom.operators.category_index import query_keys
+from ledgerloom.operators.index_store import IndexStore
 from ledgerloom.plans.jobs import label_cash
 from ledgerloom.schema import CASH_MESSAGE, CASH_STORAGE
-from ledgerloom.sources.ledger import TableStore
+from ledgerloom.sources.ledger import TableStore, cash_history
 
 # The last event of a chat, which a later undo may still take back.
 PENDING = T.StructType(
@@ -43,6 +45,47 @@ def settle(batch: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, newest.select(*PENDING.fieldNames())
 
 
+CASH = T.StructType([*CASH_STORAGE.fields, T.StructField("update_id", T.LongType())])
+STATE = T.StructType([T.StructField("booked", T.LongType())])
+
+
+class CashBooks:
+    """The cash ledger with its stored category index; each staged batch is booked once."""
+
+    def __init__(self, store: TableStore, matchers: Sequence[dict]) -> None:
+        self.store, self.matchers, self.index = store, matchers, IndexStore(store, "cash-index", "global")
+
+    def open(self) -> CashBooks:
+        """Finishes a batch whose booking was cut short; the first time, indexes what is stored."""
+        staged, state = self.store.generation("cash-batch"), self.store.read("cash-books", STATE).first()
+        if state is None or not self.index.exists():
+            self.index.rebuild(cash_history(self.store.read("cash", CASH)), staged)
+            self._save(staged)
+        elif state.booked < staged:
+            self._book(staged)
+        return self
+
+    def _save(self, booked: int) -> None:
+        self.store.replace("cash-books", self.store.spark.createDataFrame([(booked,)], STATE))
+
+    def _book(self, number: int) -> None:
+        rows, known = self.store.read("cash-batch", CASH), self.store.read("cash", CASH)
+        self.store.append("cash", rows.join(known.select("update_id"), "update_id", "left_anti").select(*CASH.fieldNames()))
+        self.index.append(cash_history(rows), number)
+        self._save(number)
+
+    def book(self, entries: DataFrame) -> None:
+        """Labels entries the ledger does not hold by the index as it stands, and books them."""
+        known = self.store.read("cash", CASH)
+        new = msg.cash_transactions(entries).join(known.select("update_id"), "update_id", "left_anti")
+        new = self.store.rewrite("cash-new", new)
+        if new.isEmpty():
+            return
+        rows = label_cash(new, known.drop("update_id"), self.matchers, "update_id", index=self.index.load(query_keys(new)))
+        self.store.replace("cash-batch", self.store.rewrite("cash-labelled", rows.select(*CASH.fieldNames())))
+        self._book(self.store.generation("cash-batch"))
+
+
 def cash_stream(
     messages: DataFrame, store: TableStore, checkpoint: str, chat_id: int, users: dict[int, str],
     matchers: Sequence[dict], trigger: dict | None = None,
@@ -52,13 +95,12 @@ def cash_stream(
     ``trigger`` defaults to ``availableNow``. A replayed batch adds nothing: rows carry
     the message's update id, and those the store holds are left out.
     """
-    schema = T.StructType([*CASH_STORAGE.fields, T.StructField("update_id", T.LongType())])
 
     def apply(batch: DataFrame, _: int) -> None:
+        books = CashBooks(store, matchers).open()
         settled, newest = settle(msg.authorised(batch, chat_id, users), store.read("cash-pending", PENDING))
-        known = store.read("cash", schema)
-        rows = label_cash(msg.cash_transactions(settled), known.drop("update_id"), matchers, "update_id")
-        store.append("cash", rows.join(known.select("update_id"), "update_id", "left_anti").select(*schema.fieldNames()))
+        newest = store.rewrite("cash-newest", newest)
+        books.book(settled)
         store.replace("cash-pending", newest)
 
     return (
@@ -71,9 +113,6 @@ def cash_stream(
 
 def flush_pending(store: TableStore, matchers: Sequence[dict]) -> None:
     """Books the entries still waiting for an undo, once a chat is closed."""
-    schema = T.StructType([*CASH_STORAGE.fields, T.StructField("update_id", T.LongType())])
     waiting = msg.cash_events(store.read("cash-pending", PENDING)).filter("kind = 'entry'")
-    known = store.read("cash", schema)
-    rows = label_cash(msg.cash_transactions(waiting), known.drop("update_id"), matchers, "update_id")
-    store.append("cash", rows.join(known.select("update_id"), "update_id", "left_anti").select(*schema.fieldNames()))
+    CashBooks(store, matchers).open().book(waiting)
     store.replace("cash-pending", store.spark.createDataFrame([], PENDING))

@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from ledgerloom.plans import jobs
 from ledgerloom.sources.ledger import LedgerStore
@@ -50,4 +49,3 @@ def test_summary_feed_is_replaced_whole(spark, tmp_path):
         jobs.summary_feed(grid, held, "2024-05-01", updated, str(tmp_path / "feed"))
     lines = [json.loads(x) for f in (tmp_path / "feed").glob("part-*") for x in f.read_text().splitlines()]
     assert [(x["updated"], x["income_raw"]) for x in lines] == [("two", 900.0)]
-    assert F is not None

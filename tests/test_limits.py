@@ -3,7 +3,6 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerloom.operators import catalog, categorize, dedup, payroll, validate
 from ledgerloom.sources.ledger import ledger_from_storage, unreadable_amounts
@@ -71,4 +70,3 @@ def test_amount_on_digit_boundaries(spark, debit, text, ok):
     statements = spark.createDataFrame([("s", f"2024-01-05 x {text}", None)], "statement_id string, text string, period_end date")
     reasons = validate.validate_rows(rows, statements, "2024-02-01").first().reasons
     assert (not reasons) == ok, reasons
-    assert F is not None
