@@ -111,7 +111,7 @@ def _scores(held: ItemIndex, text: np.ndarray, gain: np.ndarray, term: np.ndarra
 
 
 def _search_block(rows: DataFrame, index, stats: dict[int, int], k: int) -> DataFrame:
-    documents, total = stats[-1], stats[-2]
+    documents, total = stats.get(-1, 0), stats.get(-2, 0)
     width = len(index.value.vocabulary)
     weights = np.array([weight(documents, stats.get(t, 0)) for t in range(width)], np.int64)
     weights = rows.sparkSession.sparkContext.broadcast(weights)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.llm.common import merge_best, new_stage
 
 TOP = 20
 SCALE = 64
@@ -35,8 +38,8 @@ def _vectors(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np
 class _Block:
     """A bounded block of queries, ready for scoring against candidate tiles."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray) -> None:
+        self.rows, self.vectors = rows, vectors
 
     def partial_scores(self, queries: slice, candidates: np.ndarray) -> list[np.ndarray]:
         """One matrix of partial inner products per slice of the dimensions."""
@@ -59,13 +62,13 @@ def _widen(m: np.ndarray, width: int) -> np.ndarray:
     return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
-def _tiles(batches, vector: int = 1):
-    """(ids, vectors) of at most ``TILE`` usable candidates."""
+def _tiles(batches):
+    """(row numbers, ids, vectors) of at most ``TILE`` usable candidates."""
     for b in batches:
-        rows, vectors = _vectors(b.column(vector))
-        ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
-        for i in range(0, len(rows), TILE):
-            yield ids[i : i + TILE], vectors[i : i + TILE]
+        at, vectors = _vectors(b.column(2))
+        rows, ids = (b.column(c).to_numpy(zero_copy_only=False)[at] for c in (0, 1))
+        for i in range(0, len(at), TILE):
+            yield rows[i : i + TILE], ids[i : i + TILE], vectors[i : i + TILE]
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -81,11 +84,11 @@ def top_inner_products(
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products.
 
     Components x become floor(64 x). Queries are the rows whose id is divisible by
-    ``every``; candidates are all rows with another id than the query's. Ties go to the
-    smaller id; repeated rows are candidates of their own; of several vectors under one
-    query id the least one queries. Vectors that are null or hold null or non-finite
-    components, and rows without id, take no part. Shorter vectors count as filled with
-    zeros. Without rows, or with a single one, the result is empty.
+    ``every``; candidates are all rows but the query's own. Ties go to the smaller id.
+    Repeated rows are candidates of their own, and of several query rows under one id each
+    has its own ranks. Vectors that are null or hold null or non-finite components, and rows
+    without id, take no part. Shorter vectors count as filled with zeros. Without rows, or
+    with a single one, the result is empty.
 
     The dimensions are cut into slices, whose partial products sum to the score.
     1. Each task lists its best ``k`` entries of every slice; the k-th best of the listed
@@ -93,20 +96,23 @@ def top_inner_products(
     2. The cutoffs are broadcast. An entry that reaches a query's cutoff has, in some
        slice, at least an even share of it; each task collects the entries that do.
     3. The collected entries' scores are completed exactly, those below the cutoff go,
-       each task sends its ``k`` best, and the overall best are ranked.
+       each task sends its ``k`` best, and the lists are merged in a tree.
     Queries run in blocks of at most ``QUERY_BLOCK``, the only data broadcast.
     """
-    spark = table.sparkSession
-    rows = table.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    spark, v = table.sparkSession, F.col(f"`{vector}`")
+    plain = isinstance(table.schema[vector].dataType.elementType, (T.FloatType, T.DoubleType))
+    rows = table.select(F.col(f"`{id_column}`").cast("long").alias("id"), (v if plain else v.cast("array<double>")).alias("v"))
     rows = rows.filter("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
-    queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    # Written once, so that a row keeps its number in every scan.
+    rows, _ = new_stage(rows.select(F.monotonically_increasing_id().alias("row"), "id", "v"), "numbered-vectors")
+    queries = rows.filter(F.col("id") % every == 0)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
+    names, out = queries.select(F.col("row").alias("query"), F.col("id").alias("query_id")), None
     for n in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
+        part = queries.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == n).toArrow()
         if not part.num_rows:
             continue
-        found = _search_block(rows, part, k)
+        found = _search_block(rows, part, k).join(names, "query").select("query_id", "rank", "vec_id", "score")
         out = found if out is None else out.unionByName(found)
     schema = "query_id long, rank int, vec_id long, score long"
     return spark.createDataFrame([], schema) if out is None else out
@@ -116,16 +122,16 @@ def _search_block(rows: DataFrame, part: pa.Table, k: int) -> DataFrame:
     spark = rows.sparkSession
     # A usable vector has no nulls, so its column reads as one flat array.
     usable, vectors = _vectors(part.column("v"))
-    block = _Block(part.column("id").combine_chunks().to_numpy()[usable], vectors)
+    block = _Block(part.column("row").combine_chunks().to_numpy()[usable], vectors)
     block = spark.sparkContext.broadcast(block)
 
     def local_lists(batches):
         b, lists = block.value, {}
-        for ids, vectors in _tiles(batches):
-            for i in range(0, len(b.ids), TILE):
+        for numbers, _, vectors in _tiles(batches):
+            for i in range(0, len(b.rows), TILE):
                 part = slice(i, i + TILE)
                 partial = b.partial_scores(part, vectors)
-                own = b.ids[part][:, None] == ids[None, :]
+                own = b.rows[part][:, None] == numbers[None, :]
                 score = sum(partial[1:], partial[0])
                 listed = np.zeros(score.shape, bool)
                 for s in partial:
@@ -138,22 +144,21 @@ def _search_block(rows: DataFrame, part: pa.Table, k: int) -> DataFrame:
         for i, best in lists.items():
             q, _ = np.nonzero(best > -np.inf)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b.ids[i : i + TILE][q]), pa.array(best[best > -np.inf])], names=["query_id", "score"]
+                [pa.array(b.rows[i : i + TILE][q]), pa.array(best[best > -np.inf])], names=["query", "score"]
             )
 
-    lists = rows.mapInArrow(local_lists, "query_id long, score double")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    cut = lists.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") == k)
-    cutoffs = {r.query_id: r.score for r in cut.select("query_id", "score").collect()}  # one per query of the block
-    cutoff = np.array([cutoffs.get(q, -np.inf) for q in block.value.ids.tolist()])
+    lists = rows.mapInArrow(local_lists, "query long, score double")
+    cut = merge_best(lists, ["query"], [F.desc("score")], k).filter(F.col("rank") == k)
+    cutoffs = {r.query: r.score for r in cut.select("query", "score").collect()}  # one per query of the block
+    cutoff = np.array([cutoffs.get(q, -np.inf) for q in block.value.rows.tolist()])
     # Above 2**53 the double may lie over the exact k-th score, by less than one step.
     cutoff = np.where(np.abs(cutoff) >= 2**53, np.nextafter(cutoff, -np.inf), cutoff)
     safe = spark.sparkContext.broadcast(cutoff)
 
     def sufficient(batches):
         b, held = block.value, {}
-        for ids, vectors in _tiles(batches):
-            for i in range(0, len(b.ids), TILE):
+        for numbers, ids, vectors in _tiles(batches):
+            for i in range(0, len(b.rows), TILE):
                 part = slice(i, i + TILE)
                 partial = b.partial_scores(part, vectors)
                 share = safe.value[part][:, None] / len(partial)
@@ -162,7 +167,7 @@ def _search_block(rows: DataFrame, part: pa.Table, k: int) -> DataFrame:
                     enough |= s >= share
                 q, c = np.nonzero(enough)
                 score = sum((s[q, c].astype(object if s.dtype == object else np.float64) for s in partial[1:]), partial[0][q, c])
-                keep = (score >= safe.value[part][q]) & (b.ids[part][q] != ids[c])
+                keep = (score >= safe.value[part][q]) & (b.rows[part][q] != numbers[c])
                 q, c, score = q[keep] + i, c[keep], score[keep]
                 now = [q, ids[c], score]
                 held[i] = now if i not in held else [np.concatenate(z) for z in zip(held[i], now, strict=True)]
@@ -171,14 +176,12 @@ def _search_block(rows: DataFrame, part: pa.Table, k: int) -> DataFrame:
         for q, c, score in held.values():
             q, c, score = _cut(q, c, score, k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b.ids[q]), pa.array(c, pa.int64()), pa.array([int(x) for x in score], pa.int64())],
-                names=["query_id", "vec_id", "score"],
+                [pa.array(b.rows[q]), pa.array(c, pa.int64()), pa.array([int(x) for x in score], pa.int64())],
+                names=["query", "vec_id", "score"],
             )
 
-    entries = rows.mapInArrow(sufficient, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return top.select("query_id", "rank", "vec_id", "score")
+    entries = rows.mapInArrow(sufficient, "query long, vec_id long, score long")
+    return merge_best(entries, ["query"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def _cut(q: np.ndarray, c: np.ndarray, score: np.ndarray, k: int) -> list[np.ndarray]:

@@ -270,13 +270,13 @@ def judged(url, default):
     return host, path, rule, verdict
 
 
-@pytest.mark.parametrize("filter_keys", [10**8, 0])
-def test_urls_equal_brute_force(spark, monkeypatch, filter_keys):
-    monkeypatch.setattr(urls, "MAX_FILTER_KEYS", filter_keys)
+@pytest.mark.parametrize("blocks", [1 << 20, 1])
+def test_urls_equal_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(urls, "FILTER_BLOCKS", blocks)
     given = [
         None, "", "no scheme", "http://", "http://A.Example.COM/en/x?y#z", "https://www.example.com/en/", "http://example.com/en", "x://example.com",
         "http://shop.net/es/a", "http://net/es/", "http://notnet/es/", "http://a.net/ES/", "http://b.com#f", "http://b.com?q=/en/", "http://x.org/a://b",
-        "http://.com/", "http://com/ñ/é",
+        "http://.com/", "http://com/ñ/é", "http://" + "a." * 20_000 + "net/es/x", "http://" + "." * 20_000,
     ]
     rng = random.Random(1)
     given += [f"http://{rng.choice(['www.', '', 'a.b.'])}{rng.choice(['example', 'net', 'x'])}.{rng.choice(['com', 'net', 'org'])}{rng.choice(['/en/', '/es/', '/', '/fr/p', ''])}" for _ in range(300)]
@@ -292,10 +292,19 @@ def test_urls_equal_brute_force(spark, monkeypatch, filter_keys):
     assert urls.judge_urls(pages, rules.limit(0)).filter("rule IS NOT NULL").count() == 0
 
 
+def test_many_rules_with_one_path(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SEGMENT_BLOCKS", 8)  # the filter is put together from several segments
+    rules = spark.createDataFrame([(f"h{i}.net/x/", "block") for i in range(3000)], "rule string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.net/x/{i}") for i in range(2990, 3010)], "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
+    assert found == {i: (f"h{i}.net/x/", "block") if i < 3000 else (None, "allow") for i in range(2990, 3010)}
+
+
 def test_blocked_bloom_has_no_false_negatives():
     rng = np.random.default_rng(0)
     keys, others = rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 1 << 64, 20000, np.uint64)
-    bloom = urls.BlockedBloom(keys)
+    bloom = urls.BlockedBloom(urls.BlockedBloom.blocks_for(len(keys)))
+    bloom.add(keys)
     assert bloom.may_hold(keys).all() and bloom.may_hold(others).mean() < 0.02
 
 
@@ -308,14 +317,15 @@ def test_top_k_equals_brute_force(spark):
     rows += [(i, [0.5] * 6) for i in range(90, 130)]  # ties
     rows += [(130, None), (131, []), (132, [1.0, None]), (133, [float("nan")] * 6), (134, [float("inf")] * 6), (135, [2.0, -1.0]), (None, [1.0] * 6)]
     rows += [(7, [9.0] * 6), (140, [1e12] * 6), (141, [-3.0] * 6), (141, [-3.0] * 6)]
+    rows += [(40, [-1.0] * 6), (40, [2.5] * 6), (60, rows[60][1])]  # several rows under one query id
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("id", F.lit("y"))
     found = sorted(map(tuple, topk.top_inner_products(table.repartition(3), every=20, k=7).collect()))
     whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     wanted = []
-    for q in sorted({i for i, _ in whole if i % 20 == 0}):
-        v = min(v for i, v in whole if i == q)
-        scores = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in whole if i != q))[:7]
-        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    for at, (q, v) in enumerate(whole):
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for n, (i, w) in enumerate(whole) if n != at)[:7]
+            wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert found == sorted(wanted)
     assert topk.top_inner_products(table.limit(0)).count() == 0
 
