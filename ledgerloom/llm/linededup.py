@@ -25,49 +25,47 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _prints(text: Column, min_length: int) -> Column:
-    """Fingerprints of the lines of a text, each once; keys that are too short have none."""
-    keys = F.array_distinct(F.transform(_lines(text), line_key))
-    return F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_length), _fingerprint)
-
-
 def drop_repeated_lines(
     docs: DataFrame, min_documents: int = 10, min_length: int = 1, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Every document with the lines removed whose key at least ``min_documents`` hold.
 
     Returns all columns of ``docs`` with ``text`` replaced, plus ``__n_lines`` and
-    ``__n_dropped``. Rows of one id count as one document; rows without an id count as
-    one document together. A null or empty text is one empty line. Repeated rows stay.
+    ``__n_dropped``. Rows of one id count as one document; each row without an id counts as
+    a document of its own. A null or empty text is one empty line. Repeated rows stay.
     A document whose lines all go keeps an empty text. An empty table stays empty.
 
-    Lines are exploded to (id, fingerprint) once for the count and once for the answer;
-    the text itself meets only its own dropped fingerprints, by id, so a line shared by a
-    third of all documents moves as 24 bytes per document and is spread by id.
+    Rows get a number of their own, under which their lines are exploded to (row, position,
+    fingerprint). Fingerprints are counted, those over the threshold are a table, and it
+    gives each row the positions that go. The row's lines are put together again from the
+    positions that stay. The text itself meets only its own positions, by row, so a line
+    shared by a third of all documents moves as 32 bytes each and is spread by row.
     """
+    own, split = free_name(docs, "__row"), free_name(docs, "__lines")
     i, t = F.col(f"`{id_column}`"), F.col(f"`{text}`")
-    held = docs.select(i.alias("id"), F.explode(_prints(t, min_length)).alias("f")).select("id", "f.a", "f.b")
-    # Counting (fingerprint, id) first spreads a hot fingerprint over all ids.
-    pairs = held.groupBy("a", "b", "id").agg(F.lit(1).alias("one"))
-    frequent = pairs.groupBy("a", "b").agg(F.count("one").alias("n")).filter(F.col("n") >= min_documents)
+    numbered, _ = new_stage(docs.withColumn(own, F.monotonically_increasing_id()), "numbered-lines")
+    row = F.col(f"`{own}`")
+    lines = numbered.select(row.alias("row"), i.alias("id"), F.posexplode(_lines(t)).alias("pos", "line"))
+    keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_length)
+    held = keyed.select("row", "id", "pos", _fingerprint(F.col("key")).alias("f")).select("row", "id", "pos", "f.a", "f.b")
+    # Counting (fingerprint, document) first spreads a hot fingerprint over all documents.
+    document = (F.col("id").isNull().alias("none"), F.coalesce(F.col("id").cast("string"), F.col("row").cast("string")).alias("document"))
+    pairs = held.select("a", "b", *document).distinct()
+    frequent = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
     # As a table of its own the join can split the rows of a hot fingerprint.
     frequent, _ = new_stage(frequent.select("a", "b"), "repeated-lines")
-    gone = held.join(frequent, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    dropped, own, split, left = (free_name(docs, f"__{c}") for c in ("gone", "id", "lines", "kept"))
-    gone = gone.select(F.col("id").alias(own), F.col("gone").alias(dropped))
-    joined = docs.join(gone, i.eqNullSafe(F.col(own)), "left")
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    keep = F.filter(
-        F.col(split),
-        lambda x: ~(
-            (F.char_length(line_key(x)) >= min_length)
-            & F.array_contains(F.coalesce(F.col(dropped), none), _fingerprint(line_key(x)))
-        ),
+    gone = held.join(frequent, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("gone"))
+    dropped, key = free_name(docs, "__gone"), free_name(docs, "__own")
+    gone = gone.select(F.col("row").alias(key), F.col("gone").alias(dropped))
+    joined = numbered.withColumn(split, _lines(t)).join(gone, row == F.col(key), "left")
+    # Positions as a set difference: one pass over the lines, however many go.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(dropped))
+    kept = F.when(F.col(dropped).isNull(), F.array_join(split, "\n")).otherwise(
+        F.array_join(F.transform(stay, lambda n: F.get(F.col(split), n)), "\n")
     )
-    kept = joined.withColumn(split, _lines(t)).withColumn(left, F.when(F.col(dropped).isNull(), F.col(split)).otherwise(keep))
-    columns = [F.array_join(left, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(
+    columns = [kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(
         *columns,
         F.size(split).cast("long").alias("__n_lines"),
-        (F.size(split) - F.size(left)).cast("long").alias("__n_dropped"),
+        F.when(F.col(dropped).isNull(), 0).otherwise(F.size(dropped)).cast("long").alias("__n_dropped"),
     )

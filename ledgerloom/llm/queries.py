@@ -147,7 +147,7 @@ _KEY_SQL = f"translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr
         unnest(generate_series(1, CAST(len(string_split(t, chr(10))) AS BIGINT))) AS u(pos)),
     keyed AS (SELECT *, {_KEY_SQL} AS key FROM lines),
     frequent AS (
-      SELECT key FROM (SELECT DISTINCT doc_id, key FROM keyed WHERE length(key) >= 1) k GROUP BY key HAVING count(*) >= 10),
+      SELECT key FROM (SELECT DISTINCT doc_id, CASE WHEN doc_id IS NULL THEN n END AS own, key FROM keyed WHERE length(key) >= 1) k GROUP BY key HAVING count(*) >= 10),
     marked AS (SELECT k.*, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON f.key = k.key)
     SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256

@@ -341,9 +341,9 @@ def test_lines_equal_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gone", F.lit(2)).withColumn("a", F.lit(3))
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     holders = {}
-    for i, t in rows:
+    for n, (i, t) in enumerate(rows):
         for x in (t or "").split("\n"):
-            holders.setdefault(key(x), set()).add(i)
+            holders.setdefault(key(x), set()).add(("row", n) if i is None else i)
     gone = {k for k, ids in holders.items() if len(k) >= 1 and len(ids) >= 10}
     wanted = sorted((i or -1, "\n".join(x for x in (t or "").split("\n") if key(x) not in gone), (t or "").count("\n") + 1) for i, t in rows)
     out = linededup.drop_repeated_lines(docs)
@@ -352,6 +352,23 @@ def test_lines_equal_brute_force(spark):
     assert linededup.drop_repeated_lines(no_documents(spark)).count() == 0
 
 
+def test_lines_of_rows_without_id(spark):
+    rows = [(None, f"own {n}\nshared") for n in range(12)] + [(n, "shared\nlast") for n in range(3)] + [(None, "twelve\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted(r.text for r in linededup.drop_repeated_lines(docs).collect())
+    assert texts == sorted([f"own {n}" for n in range(12)] + ["last"] * 3 + ["twelve\n\n"])
+
+
+def test_document_of_many_shared_lines(spark):
+    long = "\n".join(f"line {n}" if n % 2 else "own" for n in range(100_000))
+    docs = spark.createDataFrame([(n, long) for n in range(2)], "doc_id long, text string")
+    out = linededup.drop_repeated_lines(docs, min_documents=2).collect()
+    assert [(r.text, r["__n_lines"], r["__n_dropped"]) for r in out] == [("", 100_000, 100_000)] * 2
+    out = linededup.drop_repeated_lines(docs.limit(1).union(spark.createDataFrame([(7, "own\nx")], docs.schema)), min_documents=2).collect()
+    assert sorted((r.doc_id, r.text.count("\n"), r["__n_dropped"]) for r in out)[-1] == (7, 0, 1)
+    assert max(r["__n_dropped"] for r in out) == 50_000
+
+
 # -- 2: decontamination --------------------------------------------------------------
 
 
