@@ -1,8 +1,9 @@
 """Benchmark decontamination: test items contained in documents.
 
 Items are partitioned by their number of five-word shingles. Each partition has its own
-sketch size: the smallest hashes (a bottom-k MinHash) of more shingles than an item of
-the partition may miss at the threshold. A document that contains enough of an item
+table and sketch size: the smallest hashes (a bottom-k MinHash) of more shingles than an
+item of the partition may miss at the threshold; a document meets only the partitions whose
+items fit into it. A document that contains enough of an item
 therefore holds a sketched shingle; those candidates are verified by exact containment.
 """
 
@@ -29,10 +30,10 @@ def sketch_size(most_shingles: int, threshold: float) -> int:
     return int(np.floor(most_shingles * (1 - threshold) + 1e-9)) + 1
 
 
-def size_class(shingles: int) -> tuple[int, int]:
-    """Partition of a shingle count: a power of two and the largest count in it."""
+def size_class(shingles: int) -> tuple[int, int, int]:
+    """Partition of a shingle count: a power of two, and the least and largest count in it."""
     n = max(1, shingles).bit_length() - 1
-    return n, (2 << n) - 1
+    return n, 1 << n, (2 << n) - 1
 
 
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -45,14 +46,32 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
+class _Partition:
+    """Sketches of the items of one size class and word run: hash -> items, behind a bit table."""
+
+    def __init__(self, sketched: dict[int, list[int]], least: int) -> None:
+        self.sketched, self.least = sketched, least
+        self.keys = np.sort(np.fromiter(sketched, np.uint64, len(sketched)))
+        self.bits = np.zeros(1 << _FILTER_BITS, bool)
+        self.bits[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def probe(self, grams: np.ndarray) -> set[int]:
+        found: set[int] = set()
+        grams = grams[self.bits[grams >> np.uint64(64 - _FILTER_BITS)]]
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        for h in np.unique(grams[self.keys[at] == grams]).tolist():
+            found.update(self.sketched[h])
+        return found
+
+
 class _Items:
-    """Sketches and exact shingles of a bounded block of items."""
+    """Size partitions with their own sketch tables, and exact shingles, of a bounded block of items."""
 
     def __init__(self, ids: list[list[int]], texts: list[str | None], threshold: float, shingle_words: int) -> None:
         self.threshold, self.shingle_words = threshold, shingle_words
         words = split_words(texts)
         hashes = words.hashes()
-        sketched: dict[tuple[int, int], list[int]] = {}
+        sketched: dict[tuple[int, int, int], dict[int, list[int]]] = {}
         self.ids, self.shingles, self.length = [], [], []
         for d, i in enumerate(ids):
             a, e = int(words.first[d]), int(words.first[d + 1])
@@ -65,28 +84,25 @@ class _Items:
             self.ids.append(i)
             self.length.append(n)
             self.shingles.append(_spelled(words, a, e, n))
-            _, most = size_class(len(grams))
+            part, least, most = size_class(len(grams))
+            table = sketched.setdefault((n, part, least), {})
             for h in grams[: sketch_size(most, threshold)].tolist():
-                sketched.setdefault((n, h), []).append(at)
-        self.runs = sorted({n for n, _ in sketched})
-        self.lookup = sketched
-        self.filter: dict[int, np.ndarray] = {}
-        self.sorted: dict[int, np.ndarray] = {}
-        for n in self.runs:
-            keys = np.sort(np.array([h for m, h in sketched if m == n], np.uint64))
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            bits[keys >> np.uint64(64 - _FILTER_BITS)] = True
-            self.filter[n], self.sorted[n] = bits, keys
+                table.setdefault(h, []).append(at)
+        self.partitions: dict[int, list[_Partition]] = {}
+        for (n, _, least), table in sorted(sketched.items()):
+            # A document at the threshold has at least this many shingles itself.
+            needed = int(np.ceil(threshold * least - 1e-9))
+            self.partitions.setdefault(n, []).append(_Partition(table, needed))
 
     def candidates(self, hashes: np.ndarray) -> set[int]:
+        """Items that may be in a document; partitions of items too large for it are not probed."""
         found: set[int] = set()
-        for n in self.runs:
+        for n, parts in self.partitions.items():
             grams = _grams(hashes, n)
-            grams = grams[self.filter[n][grams >> np.uint64(64 - _FILTER_BITS)]]
-            keys = self.sorted[n]
-            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            for h in np.unique(grams[keys[at] == grams]).tolist():
-                found.update(self.lookup[n, h])
+            for part in parts:
+                if len(grams) < part.least:
+                    break  # partitions rise in size
+                found |= part.probe(grams)
         return found
 
     def contained(self, words: Words, hashes: np.ndarray, a: int, e: int) -> Iterator[tuple[int, float]]:
