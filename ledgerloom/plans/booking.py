@@ -24,6 +24,7 @@ from ledgerloom.sources.ledger import LedgerStore
 KINDS = ("bank", "cc")
 BATCH = T.StructType([*TXN.fields, T.StructField("source", T.StringType())])
 WATERMARK = T.StructType([T.StructField("account", T.StringType()), T.StructField("latest", T.DateType())])
+REWRITTEN = T.StructType([T.StructField("rewritten", T.LongType())])
 STATE = T.StructType([T.StructField(c, T.LongType()) for c in ("booked", *KINDS)])
 LABEL_CACHE = T.StructType(
     [
@@ -50,6 +51,7 @@ class Books:
 
     def open(self) -> Books:
         """Finishes a batch whose booking was cut short; rebuilds after a ledger's rewrite."""
+        self._finish_rewrite()
         state = self.store.read("books", STATE).first()
         staged = self.store.generation("batch")
         if state is not None and state.booked < staged:
@@ -59,6 +61,25 @@ class Books:
             self.rebuild()
         return self
 
+    def rewrite(self, labelled: DataFrame) -> dict[str, int]:
+        """L6 for the months of ``labelled``, which holds all their rows of both ledgers.
+
+        The rows are staged first, and a rewrite cut short is repeated from there.
+        """
+        self.store.replace("rewrite", labelled.select(*TXN_COLUMNS))
+        return self._finish_rewrite()
+
+    def _finish_rewrite(self) -> dict[str, int]:
+        staged = self.store.generation("rewrite")
+        done = self.store.read("rewritten", REWRITTEN).first()
+        if staged <= (done.rewritten if done else 0):
+            return {}
+        rows = self.store.read("rewrite", TXN)
+        written = {k: self.store.rewrite_months(k, rows.filter(dedup.ledger_kind("account") == k)) for k in KINDS}
+        self.rebuild()
+        self.store.replace("rewritten", self.store.spark.createDataFrame([(staged,)], REWRITTEN))
+        return written
+
     def rebuild(self) -> None:
         """Index and watermarks of the ledgers as they stand."""
         history = self.store.read_all()

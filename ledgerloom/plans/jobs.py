@@ -162,18 +162,17 @@ def incremental_ingest(
 
 
 def recategorize_job(store: LedgerStore, matchers: Sequence[dict]) -> dict[str, int]:
-    """Guard, then fresh labels for unlabelled rows, then verified rewrites."""
-    Books(store).open()  # a batch cut short belongs to the ledgers
+    """Guard, then fresh labels for unlabelled rows, then verified rewrites of their months."""
+    books = Books(store).open()  # a batch cut short belongs to the ledgers
     everything = store.read_all()
     backup = store.read("backup", BACKUP) if store.location("backup") else None
     guard.assert_safe(guard.check_overwrite(everything, backup, require_baseline=True))
-    labelled = store.rewrite("recategorized", guard.recategorize(everything, matchers).select(*TXN_COLUMNS))
-    written = {
-        kind: store.overwrite_ledger(kind, labelled.filter(dedup.ledger_kind("account") == kind))
-        for kind in ("bank", "cc")
-    }
-    Books(store).open()
-    return written
+    month = F.date_format("txn_date", "yyyy-MM")
+    months = [r[0] for r in dedup.uncategorised(everything).select(month).distinct().collect()]
+    if not months:
+        return {}
+    touched = guard.recategorize(everything, matchers).filter(month.isin(months))
+    return books.rewrite(store.rewrite("recategorized", touched.select(*TXN_COLUMNS)))
 
 
 def learn_rules(store: LedgerStore) -> DataFrame:

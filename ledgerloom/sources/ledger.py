@@ -255,6 +255,22 @@ class LedgerStore(TableStore):
             return 0
         return self.replace(f"ledger-{kind}", month_of(df.select(*TXN.fieldNames())), ["month"])
 
+    def rewrite_months(self, kind: str, df: DataFrame) -> int:
+        """L6 by months: those in ``df`` are replaced and verified, the others keep their files.
+
+        ``df`` must be a table of its own, not a plan over the months it replaces.
+        """
+        name, rows = f"ledger-{kind}", month_of(df.select(*TXN.fieldNames()))
+        counts = {r.month: r.n for r in rows.groupBy("month").agg(F.count("*").alias("n")).collect()}
+        if not counts:
+            return 0
+        self.put_partitions(name, rows, ["month"])
+        read = self.read(name, LEDGER_TABLE).filter(F.col("month").isin(list(counts)))
+        found = {r.month: r.n for r in read.groupBy("month").agg(F.count("*").alias("n")).collect()}
+        if found != counts:
+            raise VerificationFailed(f"{name}: wrote {counts}, read back {found}")
+        return sum(counts.values())
+
     def truncate_ledger(self, kind: str, first_row: bool = True) -> None:
         """L12"""
         self.truncate(f"ledger-{kind}", LEDGER_TABLE, first_row)

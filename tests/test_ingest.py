@@ -13,7 +13,7 @@ from ledgerloom.operators.index_store import IndexStore
 from ledgerloom.plans import jobs
 from ledgerloom.plans.booking import LABEL_CACHE, Books
 from ledgerloom.schema import REVIEW, TXN
-from ledgerloom.sources.ledger import LedgerStore, TableStore
+from ledgerloom.sources.ledger import LedgerStore, TableStore, VerificationFailed, verify_rows
 from ledgerloom.sources.rules import parsing_configs
 from ledgerloom.streaming import ingest
 
@@ -281,3 +281,44 @@ def test_backup_and_restore(spark, tmp_path):
     assert store.read_all().count() == 1
     assert jobs.restore_job(store) == {"bank": 5, "cc": 1}
     assert {r.description for r in store.read_all().collect()} == {r[1] for r in BEFORE}
+
+
+def files_of(store, name):
+    import glob
+
+    return {f: open(f, "rb").read() for f in glob.glob(f"{store.location(name)}/**/*.parquet", recursive=True)}
+
+
+def test_recategorise_rewrites_the_months_it_touches(spark, tmp_path):
+    store = new_store(spark, tmp_path)
+    rows = txns(spark, [("2025-06-01", "river cafe", "-3.00", "", "bank-north-main"), ("2025-06-02", "old shop", "-4.00", "Shop", "bank-north-main")])
+    store.append_ledger("bank", rows)
+    jobs.backup_job(store)
+    before = {n: files_of(store, n) for n in ("ledger-bank", "ledger-cc")}
+    written = jobs.recategorize_job(store, [{"category": "Food", "description": ["cafe"]}])
+    assert written == {"bank": 2, "cc": 0}
+    after = {n: files_of(store, n) for n in before}
+    assert after["ledger-cc"] == before["ledger-cc"]
+    kept = [f for f in before["ledger-bank"] if "month=2025-04" in f]
+    assert kept and all(after["ledger-bank"].get(f) == before["ledger-bank"][f] for f in kept)
+    assert {(r.description, r.category) for r in store.read_ledger("bank", ["2025-06"]).collect()} == {("river cafe", "Food"), ("old shop", "Shop")}
+    assert same_index(Books(store).open().index, category_index.build_index(store.read_all(), "ledgers"))
+    assert jobs.recategorize_job(store, MATCHERS) == {}
+
+
+def test_append_overwrite_verify_truncate(spark, tmp_path):
+    store = new_store(spark, tmp_path)
+    assert store.overwrite_ledger("bank", txns(spark, [])) == 0 and store.read_ledger("bank").count() == 5  # empty input is a no-op
+    assert store.overwrite_ledger("bank", txns(spark, BEFORE[:2])) == 2 and store.read_ledger("bank").count() == 2
+    store.append_ledger("bank", txns(spark, BEFORE[2:3]))
+    assert store.read_all().count() == 4
+    with pytest.raises(VerificationFailed):
+        store.verify(store.location("ledger-bank"), 4)
+    header = spark.createDataFrame([("Date", "x"), ("2025-01-01", "y"), (" ", None)], "Date string, Description string")
+    verify_rows(header, 1)
+    with pytest.raises(VerificationFailed):
+        verify_rows(header, 2)
+    store.truncate_ledger("bank", first_row=False)
+    assert store.read_ledger("bank").count() == 3
+    store.truncate_ledger("bank")
+    assert store.read_ledger("bank").count() == 0 and store.read_ledger("bank").columns == TXN.fieldNames()
