@@ -62,7 +62,11 @@ def rows_to_records(rows: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def clean_cells(records: DataFrame) -> DataFrame:
-    """A4: blank cells to NULL, rows without any value dropped."""
+    """A4: blank cells to NULL, rows without any value dropped.
+
+    A column the header names stays even if the whole file leaves it blank. Without this
+    a month with debits only would have no credit column and so no readable amount.
+    """
     return records.withColumn(
         "cells", F.transform("cells", lambda c: F.when(~is_blank(c), c))
     ).filter(F.exists("cells", lambda c: c.isNotNull()))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +16,7 @@ from ledgerloom.operators import payroll, standardize, summary, validate
 from ledgerloom.operators.categorize import categorize, suggest_rules, vocabulary
 from ledgerloom.plans.booking import Books
 from ledgerloom.schema import CASH_STORAGE, DEFAULT_CATEGORY, REVIEW, TXN, TXN_COLUMNS
-from ledgerloom.sources.ledger import LedgerStore, cash_history
+from ledgerloom.sources.ledger import LedgerStore, TableStore, cash_history
 from ledgerloom.sources.statements import list_statements, plain_path, read_statement_rows
 
 log = logging.getLogger(__name__)
@@ -270,16 +269,28 @@ def label_cash(
     return stored.drop("Account")
 
 
-def summary_feed(grid: DataFrame, held: DataFrame, as_of: str, updated: str, path: str) -> None:
-    """One JSON line per tenant, written beside and published whole by renaming."""
+def summary_feed(grid: DataFrame, held: DataFrame, as_of: str, updated: str, path: str) -> str:
+    """One JSON line per tenant, published whole; returns the folder to read.
+
+    Each feed is a generation beside the last one. A marker file, made in one step, makes
+    it the current one, and only then does the last one go: a reader that asks
+    ``current_feed`` finds a whole feed at any moment, also after a crash.
+    """
     record = summary.summary_record(summary.holdings(held), summary.annual_figures(grid, as_of), updated)
-    spark = record.sparkSession
-    beside = f"{path.rstrip('/')}-next-{uuid.uuid4().hex}"
-    record.write.json(beside)
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(folder(path), True)
-    fs.rename(folder(beside), folder(path))
+    store, name = _feed_store(record.sparkSession, path)
+    store.publish_json(name, record)
+    return store.location(name)
+
+
+def _feed_store(spark: SparkSession, path: str) -> tuple[TableStore, str]:
+    root, _, name = path.rstrip("/").rpartition("/")
+    return TableStore(spark, root), name
+
+
+def current_feed(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest whole feed below ``path``; None before the first one."""
+    store, name = _feed_store(spark, path)
+    return store.location(name)
 
 
 def cash_vocabulary(stored_cash: DataFrame, matchers: Sequence[dict]) -> DataFrame:

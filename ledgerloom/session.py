@@ -26,11 +26,13 @@ def local_session(cores: str = "8", app: str = "ledgerloom", memory: str = "8g")
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables, below the folder the cluster names.
 
-    Executors must all reach it, so the cluster's ``spark.checkpoint.dir`` is used; a
-    session without that setting (local tests) writes below its warehouse folder, which
-    every session has and a cluster shares.
+    Executors must all reach it, so the cluster's ``spark.checkpoint.dir`` is used. Only a
+    local session, whose executor is the driver, may do without that setting; it writes
+    below its warehouse folder.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

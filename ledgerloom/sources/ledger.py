@@ -179,6 +179,12 @@ class TableStore:
         self._publish(name, gen)
         return self.read(name, df.schema)
 
+    def publish_json(self, name: str, df: DataFrame) -> None:
+        """A whole JSON table over its last version."""
+        gen = self.generation(name) + 1
+        df.write.mode("overwrite").json(f"{self.root}/{name}/gen-{gen}")
+        self._publish(name, gen)
+
     def put_partitions(self, name: str, df: DataFrame, partition_by: list[str]) -> None:
         """Writes whole partitions: those in ``df`` are replaced, the others keep their files."""
         where = self.location(name)

@@ -52,8 +52,20 @@ def check_matchers(rules) -> list[dict]:
     return rules
 
 
+def check_patterns(spark: SparkSession, rules: list[dict]) -> list[dict]:
+    """Patterns must also compile where they run, on the JVM; a refused one is fatal here."""
+    compiler = spark._jvm.java.util.regex.Pattern
+    for r in rules:
+        for p in r.get("description", []) if r.get("use_regex") else ():
+            try:
+                compiler.compile(f"(?i){p}")
+            except Exception as e:
+                raise RuleError(f"invalid pattern {p!r} for Spark: {str(e).splitlines()[0]}") from e
+    return rules
+
+
 def load_matchers(spark: SparkSession, path: str) -> list[dict]:
-    return check_matchers(_json(spark, path))
+    return check_patterns(spark, check_matchers(_json(spark, path)))
 
 
 def load_ignore(spark: SparkSession, path: str) -> list[dict]:

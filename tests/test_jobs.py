@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 
 from ledgerloom.plans import jobs
 from ledgerloom.sources.ledger import LedgerStore
-from ledgerloom.sources.rules import parsing_configs
+from ledgerloom.sources.rules import RuleError, load_matchers, parsing_configs
 
 CONFIG = {
     "bank-a": {
@@ -46,6 +47,13 @@ def test_summary_feed_is_replaced_whole(spark, tmp_path):
     grid = spark.createDataFrame([("t", "Income", "₹1,000", 1), ("t", "Income", "₹900", 2)], "tenant_id string, label string, `2024` string, row_no int")
     held = spark.createDataFrame([("t", "₹100", "₹150", "5%", "50%")], "tenant_id string, invested string, value string, xirr string, profit_pct string")
     for updated in ("one", "two"):
-        jobs.summary_feed(grid, held, "2024-05-01", updated, str(tmp_path / "feed"))
-    lines = [json.loads(x) for f in (tmp_path / "feed").glob("part-*") for x in f.read_text().splitlines()]
+        where = jobs.summary_feed(grid, held, "2024-05-01", updated, str(tmp_path / "feed"))
+        assert where == jobs.current_feed(spark, str(tmp_path / "feed"))
+    lines = [json.loads(x) for f in (tmp_path / "feed").glob("*/part-*") for x in f.read_text().splitlines()]
     assert [(x["updated"], x["income_raw"]) for x in lines] == [("two", 900.0)]
+
+
+def test_pattern_the_jvm_refuses(spark, tmp_path):
+    (tmp_path / "rules.json").write_text(json.dumps([{"category": "A", "use_regex": True, "description": ["(?P<x>a)(?P=x)"]}]))
+    with pytest.raises(RuleError, match="for Spark"):
+        load_matchers(spark, str(tmp_path / "rules.json"))
