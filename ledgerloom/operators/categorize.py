@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +26,8 @@ EXAMPLES_PER_CATEGORY = 3
 EXAMPLE_LENGTH = 60
 KEYWORDS_PER_RULE = 10
 KEYWORD_MIN_COUNT = 3
+CASE_RULES = 200
+GRAM = 4
 
 
 def rule_condition(rule: dict) -> Column:
@@ -54,8 +58,64 @@ def rule_category(rules: Sequence[dict]) -> Column:
 
 
 def match_rules(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """Adds ``rule_category``. The rule file, of any length, is one short-circuiting CASE."""
-    return df.withColumn("rule_category", rule_category(rules))
+    """Adds ``rule_category``, that of the first matching rule.
+
+    Up to ``CASE_RULES`` rules are one short-circuiting CASE; longer lists go through an
+    index of their texts, whose plan does not grow with the list. Both give the same rows.
+    """
+    if len(rules) <= CASE_RULES:
+        return df.withColumn("rule_category", rule_category(rules))
+    return match_rules_indexed(df, rules)
+
+
+def _rule_texts(df: DataFrame, rules: Sequence[dict]) -> tuple[DataFrame, list[int]]:
+    """One row per plain rule text with the gram that finds it, and the lengths of the grams.
+
+    A text is found by the gram of it that fewest texts of the list hold.
+    """
+    texts = [(i, str(p).lower()) for i, r in enumerate(rules) for p in r.get("description", [])]
+    grams = [{t[k : k + GRAM] for k in range(max(1, len(t) - GRAM + 1))} for _, t in texts]
+    held = Counter(g for own in grams for g in own)
+    rows = []
+    for (i, text), own in zip(texts, grams, strict=True):
+        debit, account = rules[i].get("debit"), rules[i].get("account")
+        best = min(sorted(own), key=lambda g: held[g])
+        rows.append((best, text, i, debit if isinstance(debit, bool) else None, account.lower() if isinstance(account, str) else None))
+    table = df.sparkSession.createDataFrame(rows, "_gram string, _text string, _rule int, _debit boolean, _part string")
+    return table, sorted({len(r[0]) for r in rows})
+
+
+def match_rules_indexed(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
+    """K13 for long rule lists: an inverted index from grams to rule texts, candidates verified.
+
+    Distinct (description, sign, account) values are matched once. Regular expressions stay
+    a CASE of their own over the rows; the lower rule number of both wins.
+    """
+    desc, account = F.lower(text_or_empty("description")), F.lower(text_or_empty("account"))
+    table, lengths = _rule_texts(df, rules)
+    keyed = df.withColumn("_d", desc).withColumn("_s", is_debit("amount")).withColumn("_a", account)
+    keys = keyed.select("_d", "_s", "_a").distinct()
+
+    def grams(n: int) -> Column:
+        starts = F.when(F.length("_d") >= n, F.sequence(F.lit(1), F.length("_d") - n + 1))
+        return F.coalesce(F.transform(starts, lambda i: F.substr("_d", i, F.lit(n))), F.array().cast("array<string>"))
+
+    cut = F.explode(F.array_distinct(F.concat(*[grams(n) for n in lengths]) if lengths else F.array().cast("array<string>")))
+    met = keys.select("*", cut.alias("_gram")).join(table, "_gram").filter(
+        F.contains("_d", "_text")
+        & (F.col("_debit").isNull() | (F.col("_debit") == F.col("_s")))
+        & (F.col("_part").isNull() | F.contains("_a", "_part"))
+    )
+    found = met.groupBy("_d", "_s", "_a").agg(F.min("_rule").alias("_plain"))
+    by_regex: Column | None = None
+    for i, r in enumerate(rules):
+        if r.get("use_regex"):
+            cond = rule_condition(r)
+            by_regex = F.when(cond, i) if by_regex is None else by_regex.when(cond, i)
+    first = F.least("_plain", by_regex) if by_regex is not None else F.col("_plain")
+    names = F.from_json(F.lit(json.dumps([r.get("category", DEFAULT_CATEGORY) for r in rules])), "array<string>")
+    out = keyed.join(found, ["_d", "_s", "_a"], "left").withColumn("rule_category", F.get(names, first))
+    return out.select(*df.columns, "rule_category")
 
 
 def vocabulary(history: DataFrame, rules: Sequence[dict]) -> DataFrame:

@@ -1,6 +1,8 @@
 """No caps: wide statements, long rule lists, unreadable amounts, odd periods and ids."""
 
 import datetime
+import random
+import re
 
 import pytest
 
@@ -70,3 +72,41 @@ def test_amount_on_digit_boundaries(spark, debit, text, ok):
     statements = spark.createDataFrame([("s", f"2024-01-05 x {text}", None)], "statement_id string, text string, period_end date")
     reasons = validate.validate_rows(rows, statements, "2024-02-01").first().reasons
     assert (not reasons) == ok, reasons
+
+
+def test_five_thousand_rules_by_index_equal_the_case(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("shop", "cafe", "rail", "Ünï") for b in range(300)]
+    rules = []
+    for i in range(5000):
+        r = {"category": f"C{i}", "description": [rng.choice([f"{rng.choice(words)} {rng.choice(words)}", rng.choice(words), "zz", "q"])]}
+        if i % 3 == 0:
+            r["debit"] = bool(i % 2)
+        if i % 5 == 0:
+            r["account"] = rng.choice(["BANK-a", "cc"])
+        if i % 1000 == 7:
+            r |= {"use_regex": True, "description": [rf"^{rng.choice(words)}\b.*{rng.choice(words)}$"]}
+        if i % 7 == 0:
+            del r["category"]
+        rules.append(r)
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 4))).upper(), rng.choice([-1.0, 1.0, None]), rng.choice(["bank-a", "cc-b", None])) for _ in range(150)]
+    df = spark.createDataFrame([*rows, (None, 1.0, "cc-b"), ("Q", 2.0, None)], "description string, amount double, account string")
+
+    def plain(desc, amount, account):
+        d, a = (desc or "").lower(), (account or "").lower()
+        for r in rules:
+            if isinstance(r.get("debit"), bool) and r["debit"] != (amount is not None and amount < 0):
+                continue
+            if r.get("account") and r["account"].lower() not in a:
+                continue
+            if any(p.lower() in d or (r.get("use_regex") and re.search(p, d, re.I)) for p in r["description"]):
+                return r.get("category", "Uncategorized")
+        return None
+
+    found = categorize.match_rules(df, rules).collect()
+    assert len(found) == df.count()
+    assert all(r.rule_category == plain(r.description, r.amount, r.account) for r in found)
+    assert sum(r.rule_category is not None for r in found) > 100
+    short = categorize.match_rules(df, rules[:150]).collect()
+    again = categorize.match_rules_indexed(df, rules[:150]).collect()
+    assert sorted(map(repr, short)) == sorted(map(repr, again))
