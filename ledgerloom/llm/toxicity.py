@@ -212,31 +212,56 @@ def _scatter_step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads:
     table[touched] -= rate * total / np.sqrt(seen[touched] + 1e-8)[:, None]
 
 
-def fit_network(groups: list[list[str]], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> Network:
-    """Trains on documents given as lists of window texts; the worst window carries the label."""
-    if not groups:
+@dataclass
+class Sample:
+    """Words of the sampled documents as flat arrays, and the windows over them."""
+
+    hashes: np.ndarray  # of each word
+    grams: np.ndarray  # number of character grams of each word
+    slots: np.ndarray  # of all grams, word by word
+    first: np.ndarray  # first[d]:first[d + 1] are the words of document d
+
+    @classmethod
+    def of_texts(cls, texts: list[str | None]) -> Sample:
+        words = split_words(texts)
+        slots, first = char_slots(words)
+        grams = np.diff(np.append(first, len(slots)))
+        return cls(words.hashes(), grams.astype(np.int32), slots.astype(np.uint16), words.first)
+
+    @classmethod
+    def joined(cls, parts: list[Sample]) -> Sample:
+        counts = np.concatenate([np.diff(p.first) for p in parts])
+        flat = (np.concatenate([getattr(p, c) for p in parts]) for c in ("hashes", "grams", "slots"))
+        return cls(*flat, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
+
+
+def fit_network(texts: list[str | None], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> Network:
+    """Trains on whole texts; of each the worst window carries the label."""
+    parts = [Sample.of_texts(texts[i : i + 256]) for i in range(0, max(1, len(texts)), 256)]
+    return fit_sample(Sample.joined(parts), y, steps, batch, seed)
+
+
+def fit_sample(sample: Sample, y: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> Network:
+    """Trains on the sampled documents; those without words take no part."""
+    index, mask, owner = windows_of(sample.first)
+    begin_of, size_of = index[0].copy() if len(owner) else np.zeros(0, np.int64), mask.sum(axis=0)
+    del index, mask
+    worded = np.flatnonzero(np.diff(sample.first) > 0)
+    y, number = y[worded], np.bincount(owner, minlength=len(sample.first) - 1)[worded]
+    if not len(worded):
         net = fresh_network(np.zeros(0, np.uint64), seed)
         net.dense["out"][:], net.dense["bias"][:] = 0, -6.0
         return net
-    owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    texts = [w for g in groups for w in g]
-    parts = []
-    for i in range(0, len(texts), 2048):  # compact arrays; the byte positions are only needed here
-        words = split_words(texts[i : i + 2048])
-        slots, first = char_slots(words)
-        grams = np.diff(np.append(first, len(slots)))
-        parts.append((words.hashes(), np.diff(words.first), slots.astype(np.uint16), grams.astype(np.int32)))
-    hashes, sizes, slots, grams_of = (np.concatenate(x) for x in zip(*parts, strict=True))
-    window_words = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.concatenate([[0], np.cumsum(grams_of)[:-1]]).astype(np.int32)
-    doc_of_word = np.repeat(owner, sizes)
+    hashes, slots, grams_of = sample.hashes, sample.slots, sample.grams
+    first = np.concatenate([[0], np.cumsum(grams_of)[:-1]]).astype(np.int64)
+    doc_of_word = np.repeat(np.arange(len(sample.first) - 1, dtype=np.int32), np.diff(sample.first))
     # Each word once per document; words of several documents get vectors of their own.
     order = np.lexsort((doc_of_word, hashes))
     h, d = hashes[order], doc_of_word[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     found, documents = np.unique(h[fresh], return_counts=True)
-    common = documents >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(groups))
+    common = documents >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(worded))
     net = fresh_network(found[common], seed)
     del h, d, order, fresh, doc_of_word
     if len(np.unique(y)) < 2:
@@ -245,7 +270,7 @@ def fit_network(groups: list[list[str]], y: np.ndarray, steps: int = STEPS, batc
         return net
     gram_ends = first + grams_of
     rows, scale = net.word_rows(hashes).astype(np.int32), (1 / np.sqrt(grams_of)).astype(np.float32)
-    spans = np.concatenate([[0], np.cumsum([len(g) for g in groups])])
+    spans = np.concatenate([[0], np.cumsum(number)])
     rng, adam = np.random.default_rng(seed), _Adam(0.01)
     seen_word, seen_char = np.zeros(len(net.word), np.float32), np.zeros(CHAR_SLOTS, np.float32)
     classes = [np.flatnonzero(y == c) for c in (0, 1)]
@@ -255,11 +280,7 @@ def fit_network(groups: list[list[str]], y: np.ndarray, steps: int = STEPS, batc
         docs = np.concatenate([rng.choice(c, batch // 2) for c in classes])
         windows = _ranges(spans[docs], spans[docs + 1])
         of = np.repeat(np.arange(len(docs)), spans[docs + 1] - spans[docs])
-        full = np.diff(window_words)[windows] > 0
-        windows, of = windows[full], of[full]
-        if not len(windows):
-            continue
-        begin, size = window_words[windows], np.diff(window_words)[windows]
+        begin, size = begin_of[windows], size_of[windows]
         mask = span < np.minimum(size, WINDOW)[None, :]
         index = np.where(mask, begin[None, :] + span, begin[None, :])
         if step < steps // 5:  # at first any window of a document
@@ -315,35 +336,45 @@ def train_toxicity(
     """Trains on about ``rows`` labelled documents (``labels``: doc_id, toxic).
 
     The sample is chosen by a hash of the id and its ids are broadcast (about ``rows``
-    numbers). All windows of each sampled document reach the driver, so that its worst
-    one carries the label. The number of training steps is fixed. Without labels nothing is
-    rejected.
+    numbers). Of each sampled document all words reach the driver, as hashes and gram
+    slots and not as text, so that the worst of all its windows carries the label. The
+    number of training steps is fixed. Without labels nothing is rejected.
     """
     known = labelled_sample(docs.sparkSession, labels, "toxic", rows)
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                words = split_words(part.column(1).to_pylist())
-                raw, groups = words.data.tobytes(), []
-                index, mask, owner = windows_of(words.first)
-                for d in range(part.num_rows):
-                    own = np.flatnonzero(owner == d)
-                    ends = [index[mask[:, w].sum() - 1, w] for w in own]
-                    groups.append([
-                        b" ".join(raw[words.start[j] : words.end[j]] for j in range(index[0, w], e + 1)).decode("utf-8", "ignore")
-                        for w, e in zip(own, ends, strict=True)
-                    ])
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                s = Sample.of_texts(part.column(1).to_pylist())
+                at = np.concatenate([[0], np.cumsum(s.grams)])[s.first]
+                heads = [" ".join((t or "").lower()[:400].split()) for t in part.column(1).to_pylist()]
+                spans = list(zip(s.first[:-1], s.first[1:], at[:-1], at[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(groups, pa.list_(pa.string()))], names=["y", "windows"]
-                )
+                    [
+                        part.column(0), pa.array(heads, pa.string()), pa.array([s.hashes[a:e].tobytes() for a, e, _, _ in spans], pa.binary()),
+                        pa.array([s.grams[a:e].tobytes() for a, e, _, _ in spans], pa.binary()),
+                        pa.array([s.slots[a:e].tobytes() for _, _, a, e in spans], pa.binary()),
+                    ],
+                    names=["y", "head", "hashes", "grams", "slots"],
+                )
 
     chosen = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(known), "id")
-    found = chosen.select("y", "t").mapInArrow(run, "y int, windows array<string>").toArrow()
-    rows_ = sorted(zip(found.column("y").to_pylist(), found.column("windows").to_pylist(), strict=True))
-    rows_ = [r for r in rows_ if r[1]]
-    return fit_network([w for _, w in rows_], np.array([y for y, _ in rows_], int))
+    found = chosen.select("y", "t").mapInArrow(run, "y int, head string, hashes binary, grams binary, slots binary").toArrow()
+    # An order of the rows that no partitioning changes.
+    keys = zip(found.column("y").to_pylist(), found.column("head").to_pylist(), found.column("hashes").to_pylist(), strict=True)
+    order = [n for _, n in sorted((key, n) for n, key in enumerate(keys))]
+    y = found.column("y").to_numpy()[order]
+
+    def flat(column: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        values = found.column(column).take(order).to_pylist()
+        return np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64)
+
+    hashes, sizes = flat("hashes", "<u8")
+    first = np.concatenate([[0], np.cumsum(sizes // 8)]).astype(np.int64)
+    sample = Sample(hashes, flat("grams", "<i4")[0], flat("slots", "<u2")[0], first)
+    del found
+    return fit_sample(sample, y.astype(int))
 
 
 def score_toxicity(docs: DataFrame, net: Network, id_column: str = "doc_id", text: str = "text") -> DataFrame:

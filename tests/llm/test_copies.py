@@ -80,6 +80,6 @@ def test_stages_judge_rows_and_not_ids(spark, monkeypatch):
     assert kept(decontaminate.clean_documents(docs, items)) == [0, 2, 3, 5, 6]
     assert kept(corpus_pipeline.near_dedup(spark, docs, SF)) == list(range(7))
     monkeypatch.setattr(toxicity, "PREDICT_AT", 0.5)
-    net = toxicity.fit_network([["bad word"], ["good thing"]] * 40, np.array([1, 0] * 40))
+    net = toxicity.fit_network(["bad word", "good thing"] * 40, np.array([1, 0] * 40))
     docs = spark.createDataFrame([(None, "bad word", 0), (None, "good thing", 1), (3, "good thing", 2), (3, "bad word", 3)], docs.schema)
     assert kept(toxicity.accepted_documents(docs, net)) == [1, 2]

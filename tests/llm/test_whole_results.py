@@ -32,6 +32,10 @@ def test_training_reads_all_windows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{filler} insult {filler}" if i % 2 else filler) for i in range(8)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
     seen = []
-    monkeypatch.setattr(toxicity, "fit_network", lambda groups, y: seen.extend(zip(groups, np.asarray(y).tolist(), strict=True)))
+    monkeypatch.setattr(toxicity, "fit_sample", lambda sample, y: seen.append((sample, y)))
     toxicity.train_toxicity(docs, labels)
-    assert [any("insult" in w for w in g) for g, _ in seen] == [y == 1 for _, y in seen] and len(seen) == 8
+    (sample, y), insult = seen[0], toxicity.Sample.of_texts(["insult"]).hashes[0]
+    assert sorted(np.diff(sample.first).tolist()) == [1500] * 4 + [3001] * 4 and sorted(y.tolist()) == [0] * 4 + [1] * 4
+    held = [insult in sample.hashes[a:e] for a, e in zip(sample.first[:-1], sample.first[1:], strict=True)]
+    assert held == [x == 1 for x in y]
+    assert len(sample.slots) == sample.grams.sum() and len(sample.grams) == len(sample.hashes)
