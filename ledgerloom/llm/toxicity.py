@@ -367,7 +367,7 @@ def train_toxicity(
     y = found.column("y").to_numpy()[order]
 
     def flat(column: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
-        values = found.column(column).take(order).to_pylist()
+        values = found.column(column).take(pa.array(order, pa.int64())).to_pylist()
         return np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64)
 
     hashes, sizes = flat("hashes", "<u8")
