@@ -165,13 +165,16 @@ def _(t: Inputs):
     return catalog.assign_copy_names(named, t.stored_names).select("mail_id", "config_idx", "base_name", "file_name")
 
 
+FILE_ROWS = 5000
+
+
 def _written_statements(t: Inputs) -> str:
-    """Statement grids of the tables as CSV files in the shared folder."""
+    """Statement grids of the tables as CSV files in the shared folder, of at most ``FILE_ROWS`` rows each."""
     where = shared_folder(t.spark, "statements")
     t.stmt_cells.select(
         F.col("statement_id").cast("string"), "date_text",
         F.concat("description", F.lit(',\n"x"')).alias("description"), "amount_text",
-    ).write.csv(where, escape='"')
+    ).write.option("maxRecordsPerFile", FILE_ROWS).csv(where, escape='"')
     return where
 
 

@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from ledgerloom.checks import catalog_queries
+from ledgerloom.checks.views import Inputs
 from ledgerloom.operators import catalog, categorize, dedup, payroll, validate
 from ledgerloom.sources.ledger import ledger_from_storage, unreadable_amounts
 from ledgerloom.sources.statements import read_statement_rows
@@ -110,3 +112,11 @@ def test_five_thousand_rules_by_index_equal_the_case(spark):
     short = categorize.match_rules(df, rules[:150]).collect()
     again = categorize.match_rules_indexed(df, rules[:150]).collect()
     assert sorted(map(repr, short)) == sorted(map(repr, again))
+
+
+def test_written_statements_are_bounded_files(spark, monkeypatch):
+    monkeypatch.setattr(catalog_queries, "FILE_ROWS", 100)
+    inputs = Inputs(spark, "/root/testdata/sf0.001")
+    rows = read_statement_rows(spark, catalog_queries._written_statements(inputs))
+    per_file = [r["count"] for r in rows.groupBy("file_id").count().collect()]
+    assert max(per_file) <= 100 and sum(per_file) == inputs.stmt_cells.count()
