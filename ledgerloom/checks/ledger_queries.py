@@ -416,7 +416,8 @@ def _(t: Inputs):
 FROM (SELECT tenant_id, unnest([{_SHOWN.format('invested')}, CAST({_SHOWN.format('value')} / 1000 AS DECIMAL(28,2))]) AS v FROM holding_cells) h""",
 )
 def _(t: Inputs):
-    both = F.array(*[c.cast("decimal(28,2)") for c in (amounts.display_number("invested"), amounts.display_number("value") / 1000)])
+    thousandth = amounts.display_number("value").cast("double") / 1000
+    both = F.array(amounts.display_number("invested").cast("decimal(28,2)"), amounts.rounded(thousandth, 2, "decimal(28,2)"))
     return t.holding_cells.select("tenant_id", F.explode(both).alias("v")).select("tenant_id", amounts.format_inr("v").alias("shown"))
 
 
