@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import money_text, printed_number
-from ledgerloom.functions.dates import DATE_TOKEN, parse_timestamp
+from ledgerloom.functions.dates import DATE_TOKEN, bind, parse_timestamp
 from ledgerloom.functions.text import as_col, norm_text, text_or_empty
 
 # Fixed values of the checks.
@@ -88,23 +88,26 @@ def date_reasons(formats: Column | str = "date_formats") -> Column:
     """V4: reasons against the date, as an array with NULLs for passed checks."""
     raw = F.trim(text_or_empty("date"))
     accepted = F.array_union(as_col(formats), F.array(F.lit(ISO_PATTERN)))
-    ts = F.when(raw != "", parse_timestamp(raw, accepted))
     d = norm_text(raw)
     token = F.regexp_extract(d, DATE_TOKEN, 0)
     present = (F.instr(F.col("norm_text"), d) > 0) | (
         (token != "") & (token != d) & (F.instr(F.col("norm_text"), token) > 0)
     )
-    return F.array(
-        F.when(ts.isNull(), F.concat(F.lit("date_unparseable:"), _quoted(raw))),
-        F.when(ts.isNotNull() & ~present, F.concat(F.lit("date_not_in_source:"), _quoted(raw))),
-        F.when(
-            ts > F.col("last_date"),
-            F.concat(
-                F.lit("date_after_end:"), F.date_format(ts, "yyyy-MM-dd"), F.lit(">"),
-                F.date_format("last_date", "yyyy-MM-dd"),
+
+    def reasons(ts: Column) -> Column:
+        return F.array(
+            F.when(ts.isNull(), F.concat(F.lit("date_unparseable:"), _quoted(raw))),
+            F.when(ts.isNotNull() & ~present, F.concat(F.lit("date_not_in_source:"), _quoted(raw))),
+            F.when(
+                ts > F.col("last_date"),
+                F.concat(
+                    F.lit("date_after_end:"), F.date_format(ts, "yyyy-MM-dd"), F.lit(">"),
+                    F.date_format("last_date", "yyyy-MM-dd"),
+                ),
             ),
-        ),
-    )
+        )
+
+    return bind(F.when(raw != "", parse_timestamp(raw, accepted)), reasons)
 
 
 def printed_runs(statements: DataFrame) -> DataFrame:
