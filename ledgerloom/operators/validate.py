@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import money_text, printed_number
@@ -110,14 +110,14 @@ def date_reasons(formats: Column | str = "date_formats") -> Column:
     return bind(F.when(raw != "", parse_timestamp(raw, accepted)), reasons)
 
 
-def printed_runs(statements: DataFrame) -> DataFrame:
-    """V5: (statement_id, run) of every number a text prints, each once.
+def runs_in(text: Column | str) -> Column:
+    """V5: every number a text prints, each once.
 
     Commas are dropped. A run is a whole stretch of digits, or two stretches with one dot
     between them; a minus sign before the first one gives a signed run as well.
     """
-    text = F.regexp_replace(norm_text("text"), ",", "")
-    chains = F.regexp_extract_all(text, F.lit(r"(?<!\d)-?\d+(?:\.\d+)*"), F.lit(0))
+    plain = F.regexp_replace(norm_text(text), ",", "")
+    chains = F.regexp_extract_all(plain, F.lit(r"(?<!\d)-?\d+(?:\.\d+)*"), F.lit(0))
 
     def runs(chain: Column) -> Column:
         parts = F.split(F.ltrim(chain, F.lit("-")), r"\.")
@@ -128,8 +128,19 @@ def printed_runs(statements: DataFrame) -> DataFrame:
         signed = F.transform(F.array(F.get(parts, F.lit(0)), F.get(pairs, F.lit(0))), lambda r: F.concat(F.lit("-"), r))
         return F.concat(parts, pairs, F.when(chain.startswith("-"), signed).otherwise(F.array().cast("array<string>")))
 
-    found = statements.select("statement_id", F.explode(F.array_distinct(F.flatten(F.transform(chains, runs)))).alias("run"))
-    return found.filter("run IS NOT NULL").distinct()
+    return F.array_distinct(F.flatten(F.transform(chains, runs)))
+
+
+def proved_runs(asked: DataFrame, statements: DataFrame) -> DataFrame:
+    """V5: the (statement_id, run) of ``asked`` that the statement's text prints, each once.
+
+    Asked runs meet the text as one set a statement, so the many printed numbers nobody
+    asks for are never rows of their own.
+    """
+    wanted = asked.groupBy("statement_id").agg(F.collect_set("run").alias("_wanted"))
+    met = wanted.join(statements.select("statement_id", "text"), "statement_id")
+    found = F.array_intersect("_wanted", runs_in("text"))
+    return met.select("statement_id", F.explode(found).alias("run")).distinct()
 
 
 def amount_run(c: str) -> Column:
@@ -144,10 +155,11 @@ def amount_run(c: str) -> Column:
 def with_amount_reasons(rows: DataFrame, statements: DataFrame) -> DataFrame:
     """V5: adds ``amount_reasons``, an array with NULLs for passed checks.
 
-    The numbers of each text are listed once; each side of a row meets them in an equality
-    join on (statement, run), so no pattern runs per row and a long statement spreads.
+    The numbers of each text are listed once; each side of a row meets the proved ones in an
+    equality join on (statement, run), so no pattern runs per row and a long statement spreads.
     """
-    index, out = printed_runs(statements), rows
+    both = F.array_compact(F.array(amount_run("debit"), amount_run("credit")))
+    index, out = proved_runs(rows.select("statement_id", F.explode(both).alias("run")), statements), rows
     for side in ("debit", "credit"):
         found = index.select("statement_id", F.col("run").alias(f"_{side}_run"), F.lit(True).alias(f"_{side}_found"))
         out = out.withColumn(f"_{side}_run", amount_run(side)).join(found, ["statement_id", f"_{side}_run"], "left")
@@ -276,13 +288,10 @@ def reconcile(extracted: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def best_attempt(validated: DataFrame) -> DataFrame:
     """Rows of the attempt with the fewest flagged rows, ties to the earlier one."""
-    per_attempt = validated.groupBy("statement_id", "attempt").agg(
-        F.sum(F.when(F.size("reasons") > 0, 1).otherwise(0)).alias("bad")
-    )
-    best = per_attempt.groupBy("statement_id").agg(
-        F.min_by("attempt", F.struct("bad", "attempt")).alias("attempt")
-    )
-    return validated.join(best, ["statement_id", "attempt"], "left_semi")
+    bad = F.sum(F.when(F.size("reasons") > 0, 1).otherwise(0)).over(Window.partitionBy("statement_id", "attempt"))
+    best = F.min(F.struct("_bad", "attempt")).over(Window.partitionBy("statement_id"))
+    ranked = validated.filter("statement_id IS NOT NULL").repartition("statement_id").withColumn("_bad", bad).withColumn("_best", best)
+    return ranked.filter(F.col("attempt") == F.col("_best.attempt")).select(*[F.col(f"`{c}`") for c in validated.columns])
 
 
 def statement_flags(
