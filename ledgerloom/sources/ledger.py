@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.amounts import parse_amount
-from ledgerloom.functions.dates import iso_date
+from ledgerloom.functions.dates import bind, iso_date
 from ledgerloom.functions.text import is_blank, text_or_empty
-from ledgerloom.operators.standardize import signed_amount
 from ledgerloom.schema import AMOUNT, DEFAULT_CATEGORY, TXN
 
 
@@ -33,17 +34,18 @@ def ledger_from_storage(stored: DataFrame, strict: bool = True) -> DataFrame:
         col = F.col(f"`{names[name]}`") if name in names else F.lit(None).cast("string")
         return F.when(~is_blank(col), col)
 
-    if "debit" in names and "credit" in names:
-        amount = signed_amount(text("debit"), text("credit"))
-    elif "amount" in names:
-        amount = parse_amount(text("amount"))
-    else:
+    paired = "debit" in names and "credit" in names
+    if not paired and "amount" not in names:
         raise ValueError("a ledger needs debit and credit columns, or an amount column")
-    unread = unreadable(stored)
-    if strict:
-        amount = F.when(~unread, amount).otherwise(F.raise_error(F.lit("unreadable amount in the stored ledger")))
-    else:
-        amount = F.when(~unread, amount)
+    read = F.struct(*[parse_amount(text(n)).alias(n) for n in ("debit", "credit", "amount") if n in names])
+    unread = F.raise_error(F.lit("unreadable amount in the stored ledger")).cast(AMOUNT) if strict else F.lit(None).cast(AMOUNT)
+
+    def signed(p: Column) -> Column:
+        # A blank reads as 0, so only what cannot be read is NULL; every number is read once.
+        whole = (p["credit"] - p["debit"]).cast(AMOUNT) if paired else p["amount"]
+        return F.when(reduce(or_, [p[n].isNull() for n in ("debit", "credit", "amount") if n in names]), unread).otherwise(whole)
+
+    amount = bind(read, signed)
     return (
         stored.select(
             iso_date(F.btrim(text("date"), F.lit("' "))).alias("txn_date"),
