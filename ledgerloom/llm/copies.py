@@ -6,7 +6,8 @@ from texts that share a passage (100 bits). That is too many for blocks of bits
 them, so the smallest shingle hashes of a class route it: of the ``KEYS`` smallest hashes of two
 sets' union each lies in both sets with the pair's similarity, so the pair misses every
 common key with probability 0.2 ** KEYS. Within a key, pivot distance tables and the
-fingerprints themselves discard pairs, and only survivors have their texts compared.
+fingerprints themselves discard pairs; what is left is not named pair by pair but joined to
+candidate groups. A group's texts then meet, and its survivors are verified exactly there.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Words, mix, new_stage, remove_folder
-from ledgerloom.llm.simhash import components, pivots
+from ledgerloom.llm.simhash import _Forest, components
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -28,8 +29,7 @@ KEYS = 24
 WORDS = 4  # of 64 bits in a fingerprint
 RADIUS = 68  # bits; five deviations above the distance at the threshold
 SHORT_RADIUS = 104  # for pairs with a set of fewer than KEYS shingles, whose bits are decided by few votes
-PIVOTS = 2
-ROUNDS = 2  # of best partners, before all open pairs are tried
+PIVOTS = 4
 TILE = 4096
 HOT_SHARE = 10_000  # a key in more than one of so many classes, and more than a tile, is common
 TILE_SHINGLES = 4 << 20
@@ -90,12 +90,6 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Whether two sorted sets reach the threshold, exactly."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= threshold * (len(a) + len(b) - both) - 1e-9
-
-
 SKETCH = "row long, cls long, n int, fp binary, keys array<long>"
 
 
@@ -118,17 +112,28 @@ def sketches(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, SKETCH)
 
 
-def near_pairs(
-    fp: np.ndarray, n: np.ndarray, right: np.ndarray | None, radius: int, threshold: float
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs of one tile (or between its two sides) within the radius, and their distances.
+def references(fp: np.ndarray) -> np.ndarray:
+    """Reference fingerprints of a tile, each far from those before it.
+
+    Distances of random references to any text are about half of the bits, and tell nothing;
+    one out of a cluster of copies is near to these and far from the rest.
+    """
+    at, near = [0], distances(fp, fp[:1])[:, 0]
+    while len(at) < PIVOTS:
+        at.append(int(near.argmax()))
+        near = np.minimum(near, distances(fp, fp[at[-1:]])[:, 0])
+    return fp[at]
+
+
+def near_pairs(fp: np.ndarray, n: np.ndarray, right: np.ndarray | None, radius: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one tile (or between its two sides) within the radius.
 
     A table holds the distances to the reference fingerprints; where two rows of it differ
     by more than the radius in a column, so do the fingerprints.
     """
-    refs, own = pivots(PIVOTS * WORDS).reshape(PIVOTS, WORDS), radius
+    own = radius
     radius = max(radius, SHORT_RADIUS) if (n < KEYS).any() else radius
-    table = distances(fp, refs).astype(np.int16)
+    table = distances(fp, references(fp)).astype(np.int16)
     left_at = np.arange(len(fp)) if right is None else np.flatnonzero(~right)
     right_at = left_at if right is None else np.flatnonzero(right)
     right_at = right_at[np.argsort(table[right_at, 0], kind="stable")]
@@ -140,45 +145,45 @@ def near_pairs(
         hi = np.searchsorted(first, int(table[x[-1], 0]) + radius, "right")
         y = right_at[lo:hi]
         keep = np.ones((len(x), len(y)), bool)
-        for c in range(1, PIVOTS):
+        for c in range(PIVOTS):
             keep &= np.abs(table[x, c][:, None] - table[y, c][None, :]) <= radius
-        apart = distances(fp[x], fp[y])
-        a, b = np.nonzero(keep & (apart <= radius))
-        apart = apart[a, b]
+        a, b = np.nonzero(keep)
         a, b = x[a], y[b]
+        if right is None:
+            a, b = a[a < b], b[a < b]
+        apart = np.zeros(len(a), np.uint16)
+        for word in range(WORDS):
+            apart += np.bitwise_count(fp[a, word] ^ fp[b, word])
         fits = (n[a] >= threshold * n[b] - 1e-9) & (n[b] >= threshold * n[a] - 1e-9)
         fits &= apart <= np.where(np.minimum(n[a], n[b]) < KEYS, radius, own)
-        if right is None:
-            fits &= a < b
-        yield a[fits], b[fits], apart[fits]
+        yield a[fits], b[fits]
 
 
-def _tiled(classes: DataFrame) -> DataFrame:
-    """Rows (k, i, j, right, cls, n, fp, label) of the classes that share a key across labels.
+def _tiled(routed: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (*by, i, j, right and those of ``classes``) of the classes that share the ``by`` of ``routed``.
 
-    The classes of a key are cut into chunks of about ``TILE``; each pair of chunks is a
-    tile, so that a common key is many small tasks. Keys are met by class numbers alone;
-    the rest joins where a key has partners.
+    The classes of a key are cut into chunks of about ``TILE`` and of bounded size; each
+    pair of chunks is a tile, so that a common key is many small tasks. Keys are met by
+    class numbers alone; the rest joins where a key has partners.
     """
-    routed = classes.select("cls", "label", F.explode("keys").alias("k"))
-    sizes = routed.groupBy("k").agg(F.count("*").alias("members"), F.min("label").alias("a"), F.max("label").alias("b"))
-    sizes = sizes.filter("members > 1 AND a <> b").select("k", F.ceil(F.col("members") / TILE).alias("g"))
-    met = routed.drop("label").join(sizes, "k").withColumn("c", F.pmod(F.xxhash64("cls"), F.col("g")))
+    sizes = routed.groupBy(*by).agg(F.count("*").alias("members"), F.sum("n").alias("w")).filter("members > 1")
+    sizes = sizes.select(*by, F.ceil(F.greatest(F.col("members") / TILE, F.col("w") / TILE_SHINGLES)).alias("g"))
+    met = routed.drop("n").join(sizes, by).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("g")))
     # Chunk c meets every chunk: as the left one in (c, j) and as the right one in (i, c).
     others = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1),
         lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j"), (F.col("c") > j).alias("right")),
     )
-    out = met.join(classes.drop("keys", "row"), "cls").select("cls", "n", "fp", "label", "k", F.explode(others).alias("t"))
-    return out.select("k", "t.i", "t.j", "t.right", "cls", "n", "fp", "label")
+    out = met.select("cls", *by, F.explode(others).alias("t")).select("cls", *by, "t.i", "t.j", "t.right")
+    return out.join(classes, "cls").select(*by, "i", "j", "right", *classes.columns)
 
 
 def _tile_of(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """(cls, n, fp, label, right) of a tile; ``right`` is None where its two chunks are one."""
-    cls, n, label = (t.column(c).to_numpy() for c in ("cls", "n", "label"))
+    """(cls, n, fp, right) of a tile; ``right`` is None where its two chunks are one."""
+    cls, n = t.column("cls").to_numpy(), t.column("n").to_numpy()
     fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, WORDS)
     right = t.column("right").to_numpy() if t.column("i")[0] != t.column("j")[0] else None
-    return cls, n, fp, label, right
+    return cls, n, fp, right
 
 
 def _by_tile(rows: DataFrame, tile: list[str], solve: Callable[[pa.Table], pa.RecordBatch], schema: str, *order: str) -> DataFrame:
@@ -212,84 +217,66 @@ def _by_tile(rows: DataFrame, tile: list[str], solve: Callable[[pa.Table], pa.Re
     return placed.mapInArrow(run, schema)
 
 
-def _pairs_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+def _forest_batch(cls: np.ndarray, forest: _Forest) -> pa.RecordBatch:
+    """One edge for each class of a tile that is joined to another."""
+    member = np.flatnonzero(forest.label != np.arange(len(cls)))
+    u, v = cls[member], cls[forest.label[member]]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
-def _best_pairs(classes: DataFrame, radius: int, threshold: float) -> DataFrame:
-    """For each class and tile at most two surviving pairs with other labels.
-
-    One is with the partner of the smallest label, which gathers a group at one class, and
-    one with the nearest fingerprint, the likeliest link. Every class with a partner is in
-    some pair, and a large group of copies costs two pairs for each member, not each two.
-    """
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        cls, n, fp, label, right = _tile_of(t)
-        rank = np.empty(len(cls), np.int64)
-        rank[np.lexsort((cls, label))] = np.arange(len(cls))  # orders classes by label
-        best = np.full((2, len(cls)), np.iinfo(np.int64).max)
-        for a, b, apart in near_pairs(fp, n, right, radius, threshold):
-            open_ = label[a] != label[b]
-            a, b, apart = a[open_], b[open_], apart[open_].astype(np.int64)
-            for x, y in ((a, b), (b, a)):
-                np.minimum.at(best[0], x, rank[y])
-                np.minimum.at(best[1], x, apart * len(cls) + rank[y])
-        at = np.argsort(rank)
-        has = best[0] != np.iinfo(np.int64).max
-        own = np.concatenate([cls[has], cls[has]])
-        return _pairs_batch(own, cls[at[np.concatenate([best[0][has], best[1][has] % max(1, len(cls))])]])
-
-    return _by_tile(_tiled(classes), ["k", "i", "j"], solve, "u long, v long").distinct()
-
-
-def _open_pairs(classes: DataFrame, radius: int, threshold: float) -> DataFrame:
-    """All surviving pairs of classes with different labels."""
+def _candidate_links(classes: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """Edges (u, v) that connect the classes whose fingerprints pass in a tile: a forest of each tile."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        cls, n, fp, label, right = _tile_of(t)
-        us, vs = [cls[:0]], [cls[:0]]
-        for a, b, _ in near_pairs(fp, n, right, radius, threshold):
-            apart = label[a] != label[b]
-            us.append(cls[a[apart]])
-            vs.append(cls[b[apart]])
-        return _pairs_batch(np.concatenate(us), np.concatenate(vs))
+        cls, n, fp, right = _tile_of(t)
+        forest = _Forest(len(cls))
+        for a, b in near_pairs(fp, n, right, radius, threshold):
+            forest.link(a, b)
+        return _forest_batch(cls, forest)
 
-    return _by_tile(_tiled(classes), ["k", "i", "j"], solve, "u long, v long").distinct()
+    routed = classes.select("cls", "n", F.explode("keys").alias("k"))
+    tiles = _tiled(routed, classes.select("cls", "n", "fp"), ["k"])
+    return _by_tile(tiles, ["k", "i", "j"], solve, "u long, v long", "cls").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, shingle_words: int, stage) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold.
+def _verified_links(members: DataFrame, radius: int, threshold: float, shingle_words: int) -> DataFrame:
+    """Edges (u, v) that connect the classes of each candidate group by exact similarity.
 
-    Pairs form tiles of about ``TILE_SHINGLES`` shingles by their first class, one with many
-    partners over several tiles; a tile receives each of its texts once.
+    ``members(cls, n, fp, keys, root, t)``. A group that fits a tile meets as a whole, so
+    each of its texts is sent once; the classes of a larger one meet over their keys. Within
+    a tile survivors are compared by their whole sets, unless they are joined already, and
+    a forest is returned, so that no row is made for a pair.
     """
-    sizes = classes.select("cls", "n")
-    weighed = pairs.join(sizes.select(F.col("cls").alias("v"), F.col("n").alias("n_v")), "v").join(
-        sizes.select(F.col("cls").alias("u"), F.col("n").alias("n_u")), "u"
-    )
-    weighed = stage(weighed, "copy-weighed")
-    of_u = weighed.groupBy("u").agg(F.sum("n_v").alias("w"))
-    total = weighed.agg(F.sum(F.col("n_u") + F.col("n_v"))).first()[0] or 0
-    tiles = max(1, -(-total // TILE_SHINGLES))
-    salt = F.pmod(F.xxhash64("v"), F.ceil((F.col("w") + 1) / TILE_SHINGLES))
-    tile = F.xxhash64(F.pmod(F.xxhash64("u"), F.lit(tiles)), salt)
-    placed = weighed.join(of_u, "u").select(tile.alias("tile"), "u", "v")
-    needed = placed.select("tile", F.explode(F.array("u", "v")).alias("cls")).distinct().join(texts, "cls")
-    nothing = F.lit(None).cast("long")
-    rows = needed.select("tile", "cls", nothing.alias("u"), nothing.alias("v"), "t").unionByName(
-        placed.select("tile", nothing.alias("cls"), "u", "v", F.lit(None).cast("string").alias("t"))
-    )
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        given = t.filter(t.column("cls").is_valid())
-        sets = dict(zip(given.column("cls").to_pylist(), shingle_sets(given.column("t").to_pylist(), shingle_words), strict=True))
-        asked = t.filter(t.column("u").is_valid())
-        keep = [similar(sets[u], sets[v], threshold) for u, v in zip(asked.column("u").to_pylist(), asked.column("v").to_pylist(), strict=True)]
-        good = asked.filter(pa.array(keep, pa.bool_())).select(["u", "v"]).combine_chunks()
-        return good.to_batches()[0] if good.num_rows else _pairs_batch(np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    return stage(_by_tile(rows, ["tile"], solve, "u long, v long"), "copy-links")
+        cls, n, fp, right = _tile_of(t)
+        forest = _Forest(len(cls))
+        sets = shingle_sets(t.column("t").to_pylist(), shingle_words)
+        held, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(ids, np.cumsum([len(s) for s in sets])[:-1])
+        size, mark = np.array([len(s) for s in sets]), np.zeros(len(held), bool)
+        for a, b in near_pairs(fp, n, right, radius, threshold):
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            for s, e in itertools.pairwise(np.flatnonzero(np.diff(a, prepend=-1, append=-1)).tolist()):
+                x, y = a[s], b[s:e]
+                y = y[forest.label[y] != forest.label[x]]
+                if not len(y):
+                    continue
+                mark[sets[x]] = True
+                starts = np.concatenate([[0], np.cumsum(size[y])[:-1]])
+                both = np.add.reduceat(mark[np.concatenate([sets[i] for i in y])], starts, dtype=np.int64)
+                mark[sets[x]] = False
+                y = y[both >= threshold * (size[x] + size[y] - both) - 1e-9]
+                forest.link(np.full(len(y), x), y)
+        return _forest_batch(cls, forest)
+
+    weight = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("w"))
+    whole = weight.select("root", ((F.col("members") <= TILE) & (F.col("w") <= TILE_SHINGLES)).alias("whole"))
+    keys = F.when(F.col("whole"), F.array(F.lit(0).cast("bigint"))).otherwise(F.col("keys"))
+    routed = members.select("cls", "n", "keys", "root").join(whole, "root").select("root", "cls", "n", F.explode(keys).alias("k"))
+    tiles = _tiled(routed, members.select("cls", "n", "fp", "t"), ["root", "k"])
+    return _by_tile(tiles, ["root", "k", "i", "j"], solve, "u long, v long", "cls").distinct()
 
 
 def near_copies(rows: DataFrame, threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -303,9 +290,9 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, shingle_words: in
     an empty table gives an empty result.
 
     A key found in very many classes, such as a shingle of a common passage, routes only
-    classes most of whose keys are common; others meet over their own keys. In a few rounds
-    each class tries its best partners of each tile; only where that leaves several groups
-    are the pairs between these groups tried.
+    classes most of whose keys are common; others meet over their own keys. Classes that pass
+    the fingerprint test are joined to candidate groups by forests, whose rows follow the
+    classes and not their pairs; exact verification happens within these groups.
     """
     spark, folders = rows.sparkSession, []
 
@@ -316,31 +303,17 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, shingle_words: in
 
     sketched = stage(sketches(rows, shingle_words), "copy-sketches")
     one = F.min_by(F.struct("row", "n", "fp", "keys"), "row").alias("s")
-    classes = sketched.filter("cls <> 0").groupBy("cls").agg(one).select("cls", "s.*", F.col("cls").alias("label"))
+    classes = sketched.filter("cls <> 0").groupBy("cls").agg(one).select("cls", "s.*")
     classes = stage(classes, "copy-classes")
     most = max(TILE, classes.count() // HOT_SHARE)
     counted = classes.select(F.explode("keys").alias("k")).groupBy("k").count().filter(F.col("count") > most)
     hot = np.sort(counted.select("k").toArrow().column("k").to_numpy())  # at most KEYS * HOT_SHARE keys
     if len(hot):
         classes = stage(_own_keys(classes, hot), "copy-routes")
-    edges, tried, named, open_ = None, None, None, classes
-    for n in range(ROUNDS + 1):
-        found = (_best_pairs if n < ROUNDS else _open_pairs)(open_, radius, threshold)
-        if tried is not None:
-            found = found.join(tried, ["u", "v"], "left_anti")
-        found = stage(found, "copy-pairs")
-        if found.isEmpty():
-            break
-        texts = stage(_texts_of(found, classes, rows), "copy-texts")
-        linked = _verified(found, classes, texts, threshold, shingle_words, stage)
-        tried, edges = (found, linked) if tried is None else (tried.unionByName(found), edges.unionByName(linked))
-        named = stage(components(edges).select(F.col("node").alias("cls"), F.col("root")), "copy-groups")
-        # Only classes with a partner can have an open pair.
-        met = tried.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-        labelled = classes.drop("label").join(met, "cls").join(named, "cls", "left")
-        open_ = stage(labelled.withColumn("label", F.coalesce("root", "cls")).drop("root"), "copy-open")
-    if named is None:
-        named = spark.createDataFrame([], "cls long, root long")
+    met = _groups(stage(_candidate_links(classes, radius, threshold), "copy-candidates"))
+    members = classes.join(met, "cls").join(rows.select("row", F.col("text").alias("t")), "row").drop("row")
+    members = stage(members, "copy-members")
+    named = _groups(stage(_verified_links(members, radius, threshold, shingle_words), "copy-links"))
     result, _ = new_stage(sketched.join(named, "cls", "left").select("row", F.coalesce("root", "cls").alias("root")), "copy-roots")
     for where in folders:
         remove_folder(spark, where)
@@ -365,7 +338,6 @@ def _own_keys(classes: DataFrame, hot: np.ndarray) -> DataFrame:
     return classes.mapInArrow(run, classes.schema)
 
 
-def _texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(cls, t) of the classes in any pair, each read once from the rows."""
-    met = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-    return classes.join(met, "cls", "left_semi").select("cls", "row").join(rows.select("row", F.col("text").alias("t")), "row").select("cls", "t")
+def _groups(edges: DataFrame) -> DataFrame:
+    """(cls, root) of the classes in any edge."""
+    return components(edges).select(F.col("node").alias("cls"), "root")

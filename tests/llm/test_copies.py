@@ -83,3 +83,23 @@ def test_stages_judge_rows_and_not_ids(spark, monkeypatch):
     net = toxicity.fit_network(["bad word", "good thing"] * 40, np.array([1, 0] * 40))
     docs = spark.createDataFrame([(None, "bad word", 0), (None, "good thing", 1), (3, "good thing", 2), (3, "bad word", 3)], docs.schema)
     assert kept(toxicity.accepted_documents(docs, net)) == [1, 2]
+
+
+def test_rows_follow_the_classes_and_not_their_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(100)
+    texts = [" ".join(passage + words(30)) for _ in range(300)]  # all pairs near 0.6: none is a copy
+    texts += [texts[0] + " more", texts[7] + " again"]
+    written, new_stage = [], copies.new_stage
+
+    def counted(df, purpose):
+        table, where = new_stage(df, purpose)
+        written.append((table.count(), purpose))
+        return table, where
+
+    monkeypatch.setattr(copies, "new_stage", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = {r.row: r.root for r in copies.near_copies(frame).collect()}
+    assert found[300] == found[0] and found[301] == found[7] and len(set(found.values())) == 300
+    assert max(written)[0] <= copies.KEYS * len(texts), max(written)
