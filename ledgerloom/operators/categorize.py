@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.dates import bind
 from ledgerloom.functions.text import is_blank, is_debit, norm, text_or_empty
 from ledgerloom.operators.category_index import (
     CategoryIndex,
@@ -30,8 +31,18 @@ CASE_RULES = 200
 GRAM = 4
 
 
-def rule_condition(rule: dict) -> Column:
-    desc = F.lower(text_or_empty("description"))
+def _facts() -> Column:
+    """What rules read of a row: lower-cased texts and the sign."""
+    return F.struct(
+        F.lower(text_or_empty("description")).alias("desc"),
+        is_debit("amount").alias("debit"),
+        F.lower(text_or_empty("account")).alias("account"),
+    )
+
+
+def rule_condition(rule: dict, facts: Column | None = None) -> Column:
+    facts = _facts() if facts is None else facts
+    desc = facts["desc"]
     patterns = []
     for p in rule.get("description", []):
         hit = desc.contains(str(p).lower())
@@ -42,19 +53,27 @@ def rule_condition(rule: dict) -> Column:
     for p in patterns:
         cond = cond | p
     if isinstance(rule.get("debit"), bool):
-        cond = (is_debit("amount") == rule["debit"]) & cond
+        cond = (facts["debit"] == rule["debit"]) & cond
     if isinstance(rule.get("account"), str):
-        cond = F.lower(text_or_empty("account")).contains(rule["account"].lower()) & cond
+        cond = facts["account"].contains(rule["account"].lower()) & cond
     return cond
 
 
 def rule_category(rules: Sequence[dict]) -> Column:
-    """Category of the first matching rule, NULL when none matches."""
-    column: Column | None = None
-    for rule in rules:
-        cond, category = rule_condition(rule), rule.get("category", DEFAULT_CATEGORY)
-        column = F.when(cond, category) if column is None else column.when(cond, category)
-    return F.lit(None).cast("string") if column is None else column
+    """Category of the first matching rule, NULL when none matches.
+
+    The rules read a row's lower-cased texts from one value. Written out per rule the CASE
+    outgrows what the JVM compiles, and its stage runs interpreted.
+    """
+
+    def first(facts: Column) -> Column:
+        column: Column | None = None
+        for rule in rules:
+            cond, category = rule_condition(rule, facts), rule.get("category", DEFAULT_CATEGORY)
+            column = F.when(cond, category) if column is None else column.when(cond, category)
+        return column
+
+    return bind(_facts(), first) if rules else F.lit(None).cast("string")
 
 
 def match_rules(df: DataFrame, rules: Sequence[dict]) -> DataFrame:

@@ -1,11 +1,16 @@
 """What a large table pays per row: each text and cell is read once, with the same results."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from ledgerloom.checks.fragments import RULES
 from ledgerloom.checks.statement_queries import CONFIGS, FUTURE
 from ledgerloom.checks.views import Inputs
 from ledgerloom.functions.amounts import parse_amount
-from ledgerloom.operators import standardize
+from ledgerloom.functions.text import norm
+from ledgerloom.operators import categorize, standardize
 from ledgerloom.sources.rules import parsing_configs
 from tests.test_growth import SF, plan
 
@@ -48,3 +53,20 @@ def test_marks_are_looked_for_only_where_a_number_is_not_bare(spark):
         "12": "12.00", "+1.50": "1.50", "-.5": "-0.50", "1e3": "1000.00", "12 Cr": "12.00", "12 Dr": "-12.00", "(7)": "-7.00", "(7) Dr": None,
         "5%": "5.00", "₹1,000 Cr": "1000.00", "Cr": None, "1 2": None, "": "0.00", " 3 ": "3.00", "--4": None,
     }
+
+
+def test_rules_read_a_row_once(spark):
+    rows = spark.createDataFrame([("UPI-Red bolt", -1.0, "BANK-a"), (None, None, None)], "description string, amount double, account string")
+    ruled = categorize.match_rules(rows, RULES)
+    assert plan(ruled).count("lower(") <= 2
+    assert [r.rule_category for r in ruled.collect()] == ["Expense:Hardware", None]
+
+
+def test_norm_in_two_passes(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aZ é/#-\t\n 09١😀İ", k=rng.randint(0, 12))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"), norm("t").alias("n"))
+    for low, n in rows.collect():
+        kept = re.sub(r"[^a-z#/ ]", " ", re.sub(r"[0-9]+", "#", low))
+        assert n == re.sub(r"\s+", " ", kept).strip(" ")
+    assert plan(rows.select("n")).count("regexp_replace") == 2
