@@ -25,25 +25,28 @@ def resolve_account(files: DataFrame, accounts: DataFrame) -> DataFrame:
     Instead of testing every file against every account, each file lists its substrings
     of the lengths account names have (a bounded set), and those meet the accounts in an
     equality join. ``accounts(kind, account, idx)``: ``idx`` breaks length ties.
+    Names of many files are cut once.
     """
     lengths = accounts.agg(F.collect_set(F.length("account")).alias("_lengths"))
-    name = F.lower("file_name")
+    named_files = files.withColumn("_name", F.lower("file_name"))
+    name = F.col("_name")
 
     def cuts(n: Column) -> Column:
         starts = F.when(n <= F.length(name), F.sequence(F.lit(1), F.length(name) - n + 1))
         return F.coalesce(F.transform(starts, lambda i: F.substr(name, i, n)), F.array().cast("array<string>"))
 
-    # One row of lengths beside every file; a scalar subquery cannot stand inside a lambda.
-    candidates = files.crossJoin(lengths).select(
-        "file_id", "kind", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", cuts)))).alias("_cut")
+    # One row of lengths beside every name; a scalar subquery cannot stand inside a lambda.
+    candidates = named_files.select("_name", "kind").distinct().crossJoin(lengths).select(
+        "_name", "kind", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", cuts)))).alias("_cut")
     )
     named = accounts.select("kind", F.lower("account").alias("_cut"), "account", "idx")
     found = (
         candidates.join(named, ["kind", "_cut"])
-        .groupBy("file_id", "kind")
+        .groupBy("_name", "kind")
         .agg(F.max_by("account", F.struct(F.length("account"), -F.col("idx"))).alias("account"))
     )
-    return files.join(found, ["file_id", "kind"])
+    others = [c for c in files.columns if c not in ("file_id", "kind")]
+    return named_files.join(found, ["_name", "kind"]).select("file_id", "kind", *others, "account")
 
 
 def statement_period_end(files: DataFrame) -> DataFrame:
