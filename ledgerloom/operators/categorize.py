@@ -265,17 +265,20 @@ def score_batches(df: DataFrame, scorer, schema: str = "norm string, is_debit bo
 
 
 def category_examples(history: DataFrame, vocab: DataFrame, history_order: str = "global") -> DataFrame:
-    """Per category the first three descriptions with distinct norm."""
+    """Per category the first three descriptions with distinct norm.
+
+    The first row of a norm is the least key, kept map-side; only these meet the vocabulary, so
+    the rows of one category never meet in one task.
+    """
     seen = first_seen_key(history_order)
-    per_norm = Window.partitionBy("category", "norm").orderBy("seen")
     per_category = Window.partitionBy("category").orderBy("seen")
     return (
         labelled(history)
-        .join(vocab, "category", "left_semi")
-        .select("category", "description", "amount", norm("description").alias("norm"), seen.alias("seen"))
+        .select("category", norm("description").alias("norm"), seen.alias("seen"))
         .filter("norm <> ''")
-        .withColumn("_rank", F.row_number().over(per_norm))
-        .filter("_rank = 1")
+        .groupBy("category", "norm")
+        .agg(F.min("seen").alias("seen"))
+        .join(vocab, "category", "left_semi")
         .withColumn("position", F.row_number().over(per_category))
         .filter(F.col("position") <= EXAMPLES_PER_CATEGORY)
         .select(
@@ -283,9 +286,9 @@ def category_examples(history: DataFrame, vocab: DataFrame, history_order: str =
             "position",
             F.concat(
                 F.lit('"'),
-                F.substring("description", 1, EXAMPLE_LENGTH),
+                F.substring("seen.description", 1, EXAMPLE_LENGTH),
                 F.lit('" ['),
-                F.when(is_debit("amount"), "DEBIT").otherwise("CREDIT"),
+                F.when(is_debit("seen.amount"), "DEBIT").otherwise("CREDIT"),
                 F.lit("]"),
             ).alias("example"),
         )

@@ -10,7 +10,7 @@ from ledgerloom.checks.statement_queries import CONFIGS, FUTURE
 from ledgerloom.checks.views import Inputs
 from ledgerloom.functions.amounts import parse_amount
 from ledgerloom.functions.text import norm
-from ledgerloom.operators import categorize, standardize
+from ledgerloom.operators import catalog, categorize, standardize
 from ledgerloom.sources.rules import parsing_configs
 from tests.test_growth import SF, plan
 
@@ -25,6 +25,7 @@ def test_a_reject_summary_parses_each_row_once(spark):
     summary = standardize.reject_summary(parsed)
     # Each plan lists a projection once; a pushed filter would hold the same attempt again.
     assert plan(summary).count("gettimestamp") <= plan(parsed).count("gettimestamp")
+    assert "HashAggregate(keys=[file_id" in plan(summary).split("Join")[0]
     assert summary.columns == ["file_id", "reject_reason", "rows", "latest"]
     plain = standardize.rejected(parsed).groupBy("file_id", "reject_reason").agg(F.count("*").alias("rows"), F.max("txn_date").alias("latest"))
     assert sorted(map(repr, summary.collect())) == sorted(map(repr, plain.collect()))
@@ -70,3 +71,20 @@ def test_norm_in_two_passes(spark):
         kept = re.sub(r"[^a-z#/ ]", " ", re.sub(r"[0-9]+", "#", low))
         assert n == re.sub(r"\s+", " ", kept).strip(" ")
     assert plan(rows.select("n")).count("regexp_replace") == 2
+
+
+def test_accounts_are_looked_for_once_a_name(spark):
+    names = ["BANK-a1-2024.csv", "bank-a12-2024.csv", "bank-b-cc-x.csv", "cc-x-2024-01.csv", "bank-none.csv"]
+    files = spark.createDataFrame([(i, n) for i, n in enumerate(names * 3)], "file_id long, file_name string")
+    accounts = spark.createDataFrame([("bank", "bank-a1", 0), ("bank", "Bank-a12", 0), ("cc", "cc-x", 0), ("bank", "bank-b", 1)], "kind string, account string, idx int")
+    found = catalog.resolve_account(catalog.files_of_type(files), accounts)
+    assert found.columns == ["file_id", "kind", "file_name", "account"]
+    want = {"BANK-a1-2024.csv": ["bank-a1"], "bank-a12-2024.csv": ["Bank-a12"], "bank-b-cc-x.csv": ["bank-b", "cc-x"], "cc-x-2024-01.csv": ["cc-x"], "bank-none.csv": []}
+    assert sorted((r.file_id, r.account) for r in found.collect()) == sorted((i, a) for i, n in enumerate(names * 3) for a in want[n])
+    assert "HashAggregate(keys=[_name" in plan(found)
+
+
+def test_category_examples_meet_by_their_first_rows(spark):
+    t = Inputs(spark, SF)
+    found = plan(categorize.category_examples(t.history, categorize.vocabulary(t.history, [])))
+    assert found.count("row_number()") <= 3 and "partial_min(seen" in found
