@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ledgerloom.checks import all_queries
 from ledgerloom.checks.fragments import RULES
 from ledgerloom.checks.statement_queries import CONFIGS, FUTURE
 from ledgerloom.checks.views import Inputs
@@ -14,6 +15,8 @@ from ledgerloom.operators import catalog, categorize, standardize
 from ledgerloom.sources.rules import parsing_configs
 from tests.test_growth import SF, plan
 
+QUERIES = all_queries()
+
 
 def _parsed(spark):
     t = Inputs(spark, SF)
@@ -88,3 +91,24 @@ def test_category_examples_meet_by_their_first_rows(spark):
     t = Inputs(spark, SF)
     found = plan(categorize.category_examples(t.history, categorize.vocabulary(t.history, [])))
     assert found.count("row_number()") <= 3 and "partial_min(seen" in found
+
+
+def test_files_are_not_dealt_by_their_few_settings(spark):
+    schema = "file_id long, row_no long, cells array<string>"
+    rows = [
+        (1, 0, ["Statement", None]), (1, 2, ["DAY", "What"]), (1, 3, ["Day", "what"]), (2, 4, ["no", "header"]), (2, 5, ["neither"]),
+        (3, 29, ["day", "what"]), (4, 30, ["day", "what"]), (5, 0, ["When"]), (6, 0, ["day", "what"]),
+    ]
+    files = spark.createDataFrame([(n, "b" if n == 5 else "none" if n == 6 else "a") for n in range(1, 8)], "file_id long, config_key string")
+    configs = parsing_configs(spark, {"a": {"header_patterns": [["x"], ["Day", "What"]], "column_map": {}}, "b": {"header_patterns": [["when"]], "column_map": {}}})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Inputs(spark, SF)
+        found = standardize.detect_header(spark.createDataFrame(rows, schema), files, configs)
+        for df in (found, QUERIES["a1_detect_header"](spark, SF), standardize.parse_statements(t.grid, t.grid_files, parsing_configs(spark, CONFIGS))):
+            assert "hashpartitioning(config_key" not in plan(df)
+        got = {r.file_id: (r.header_row, r.header) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {1: (2, ["DAY", "What"]), 2: (0, ["no", "header"]), 3: (29, ["day", "what"]), 5: (0, ["When"])}
