@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import text_or_empty
@@ -69,27 +69,43 @@ def assert_safe(verdicts: DataFrame) -> None:
         raise OverwriteRefused("; ".join(f"{r.ledger}: {r.verdict} ({r.have} of {r.base})" for r in bad))
 
 
-def backup_id(df: DataFrame) -> DataFrame:
-    """Backup key: hash of date, account, amount and the raw description."""
+def _own_id() -> Column:
+    # A date's own text is the same as its format for years of four digits, and much cheaper.
+    four_digits = F.col("txn_date").between(F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date"))
+    day = F.when(four_digits, F.col("txn_date").cast("date").cast("string")).otherwise(F.date_format("txn_date", "yyyy-MM-dd"))
     parts = F.concat_ws(
         "-",
-        F.date_format("txn_date", "yyyy-MM-dd"),
+        day,
         text_or_empty("account"),
         F.coalesce(F.col("amount").cast("string"), F.lit("0.00")),
         text_or_empty("description"),
     )
-    return df.withColumn("id", F.sha2(parts, 256))
+    return F.sha2(parts, 256)
+
+
+def backup_id(df: DataFrame) -> DataFrame:
+    """Backup key: hash of date, account, amount and the raw description."""
+    return df.withColumn("id", _own_id())
 
 
 def backup_upsert(df: DataFrame, backup: DataFrame | None) -> DataFrame:
-    """The backup after an upsert; per id the last written row stays."""
+    """The backup after an upsert; per id the last written row stays.
+
+    Rows are dealt by eight bytes of their id and carry the id itself only where it is
+    not the one their own columns give, as digits of a hash are most of a row's bytes.
+    """
     fresh = backup_id(df.select(*TXN_COLUMNS)).withColumn("_gen", F.lit(1))
+    differs = ~F.col("id").eqNullSafe(_own_id())
+    if backup is None or backup.select(*TXN_COLUMNS).dtypes == df.select(*TXN_COLUMNS).dtypes:
+        # The union changes no column, so a fresh row's id is its own.
+        differs = (F.col("_gen") == 0) & differs
     if backup is not None:
         fresh = backup.select(*fresh.columns[:-1], F.lit(0).alias("_gen")).unionByName(fresh)
-    last = Window.partitionBy("id").orderBy(F.desc("_gen"), *[F.desc(c) for c in CANONICAL_ORDER])
-    return (
-        fresh.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank", "_gen")
-    )
+    other = F.when(differs, F.struct("id")).alias("_other")
+    dealt = fresh.select(*TXN_COLUMNS, "_gen", other, F.xxhash64("id").alias("_deal")).repartition("_deal")
+    known = dealt.withColumn("id", F.when(F.col("_other").isNull(), _own_id()).otherwise(F.col("_other.id")))
+    last = Window.partitionBy("_deal", "id").orderBy(F.desc("_gen"), *[F.desc(c) for c in CANONICAL_ORDER])
+    return known.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").select(*TXN_COLUMNS, "id")
 
 
 def restore(backup: DataFrame) -> DataFrame:

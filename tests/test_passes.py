@@ -1,8 +1,13 @@
 """What a large table pays per row: each text and cell is read once, with the same results."""
 
+import io
 import random
 import re
+from contextlib import redirect_stdout
+from datetime import date
+from decimal import Decimal
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.checks import all_queries
@@ -11,7 +16,8 @@ from ledgerloom.checks.statement_queries import CONFIGS, FUTURE
 from ledgerloom.checks.views import Inputs
 from ledgerloom.functions.amounts import parse_amount
 from ledgerloom.functions.text import norm
-from ledgerloom.operators import catalog, categorize, standardize
+from ledgerloom.operators import catalog, categorize, guard, standardize
+from ledgerloom.schema import CANONICAL_ORDER
 from ledgerloom.sources.rules import parsing_configs
 from tests.test_growth import SF, plan
 
@@ -112,3 +118,49 @@ def test_files_are_not_dealt_by_their_few_settings(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {1: (2, ["DAY", "What"]), 2: (0, ["no", "header"]), 3: (29, ["day", "what"]), 5: (0, ["When"])}
+
+
+def test_an_upsert_deals_no_ids(spark):
+    schema = "txn_date date, description string, amount decimal(18,2), category string, remarks string, account string"
+    day, late = date(2001, 2, 3), date(9999, 12, 31)
+    fresh = spark.createDataFrame(
+        [
+            (day, "x", Decimal("1.50"), "A", "", "a"), (day, "x", Decimal("1.50"), "B", None, "a"), (None, None, None, None, None, None),
+            (day, "1-x", Decimal("2.00"), "C", "", "a"), (day, "x", Decimal("1.00"), "C", "", "a-2.00"), (late, "y", Decimal("-0.10"), "D", "", ""),
+            (day, "x", Decimal("-5.00"), "E", "", "a"), (day, "-5.00-x", None, "F", "", "a"), (date(1, 1, 1), "old", Decimal("7.00"), "G", "", "a"),
+        ],
+        schema,
+    )
+    own = guard.backup_id(fresh)
+    assert [r.d for r in guard.backup_id(fresh).filter("description = 'old'").select(F.date_format("txn_date", "yyyy-MM-dd").alias("d")).collect()] == ["0001-01-01"]
+    formatted = F.sha2(F.concat_ws("-", F.date_format("txn_date", "yyyy-MM-dd"), F.coalesce("account", F.lit("")), F.coalesce(F.col("amount").cast("string"), F.lit("0.00")), F.coalesce("description", F.lit(""))), 256)
+    assert own.filter(~F.col("id").eqNullSafe(formatted)).count() == 0
+    taken = own.filter("category = 'D'").first().id
+    old = own.withColumn("category", F.lit("Old")).unionByName(
+        spark.createDataFrame(
+            [
+                (day, "gone", Decimal("3.00"), "H", "", "a", "by-hand"), (day, "gone too", Decimal("4.00"), "I", "", "a", "by-hand"),
+                (day, "null", Decimal("3.00"), "J", "", "a", None), (day, "null 2", Decimal("3.00"), "K", "", "a", None),
+                (day, "other row", Decimal("9.00"), "L", "", "a", taken), (day, "kept", Decimal("9.00"), "M", "", "a", "f" * 64),
+            ],
+            schema + ", id string",
+        )
+    )
+
+    def plain(df, backup):
+        rows = guard.backup_id(df).withColumn("_gen", F.lit(1))
+        if backup is not None:
+            rows = backup.withColumn("_gen", F.lit(0)).unionByName(rows)
+        last = Window.partitionBy("id").orderBy(F.desc("_gen"), *[F.desc(c) for c in CANONICAL_ORDER])
+        return rows.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank", "_gen")
+
+    wide = old.withColumn("amount", F.col("amount").cast("decimal(20,4)") + F.when(F.col("description") == "x", F.lit("0.0001").cast("decimal(20,4)")).otherwise(0))
+    for backup in (None, old, old.limit(0), wide):
+        got, want = guard.backup_upsert(fresh, backup), plain(fresh, backup)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    out = io.StringIO()
+    with redirect_stdout(out):
+        guard.backup_upsert(fresh, old).explain("formatted")
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", out.getvalue())
+    assert moved and not any(re.search(r"\bid#", columns) for columns in moved)
