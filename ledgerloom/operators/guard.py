@@ -103,9 +103,14 @@ def backup_upsert(df: DataFrame, backup: DataFrame | None) -> DataFrame:
         fresh = backup.select(*fresh.columns[:-1], F.lit(0).alias("_gen")).unionByName(fresh)
     other = F.when(differs, F.struct("id")).alias("_other")
     dealt = fresh.select(*TXN_COLUMNS, "_gen", other, F.xxhash64("id").alias("_deal")).repartition("_deal")
-    known = dealt.withColumn("id", F.when(F.col("_other").isNull(), _own_id()).otherwise(F.col("_other.id")))
-    last = Window.partitionBy("_deal", "id").orderBy(F.desc("_gen"), *[F.desc(c) for c in CANONICAL_ORDER])
-    return known.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").select(*TXN_COLUMNS, "id")
+    # Sorted before the ids are made again, so they are not sorted either. Rows of one deal nearly always
+    # share their id; a row stays unless a later written one before it in the deal has its id.
+    order = [F.desc("_gen"), *[F.desc(c) for c in CANONICAL_ORDER]]
+    placed = dealt.sortWithinPartitions("_deal", *order)
+    known = placed.withColumn("id", F.when(F.col("_other").isNull(), _own_id()).otherwise(F.col("_other.id")))
+    named = known.withColumn("_key", F.struct("id"))
+    later = F.collect_set("_key").over(Window.partitionBy("_deal").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return named.withColumn("_later", later).filter(~F.array_contains("_later", F.col("_key"))).select(*TXN_COLUMNS, "id")
 
 
 def restore(backup: DataFrame) -> DataFrame:

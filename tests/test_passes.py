@@ -120,7 +120,7 @@ def test_files_are_not_dealt_by_their_few_settings(spark):
     assert got == {1: (2, ["DAY", "What"]), 2: (0, ["no", "header"]), 3: (29, ["day", "what"]), 5: (0, ["When"])}
 
 
-def test_an_upsert_deals_no_ids(spark):
+def test_an_upsert_deals_no_ids(spark, monkeypatch):
     schema = "txn_date date, description string, amount decimal(18,2), category string, remarks string, account string"
     day, late = date(2001, 2, 3), date(9999, 12, 31)
     fresh = spark.createDataFrame(
@@ -159,8 +159,14 @@ def test_an_upsert_deals_no_ids(spark):
         got, want = guard.backup_upsert(fresh, backup), plain(fresh, backup)
         assert got.columns == want.columns and got.dtypes == want.dtypes
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        monkeypatch.setattr(guard.F, "xxhash64", lambda *_: F.lit(7).cast("long"))  # all ids in one deal
+        got = guard.backup_upsert(fresh, backup)
+        monkeypatch.undo()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     out = io.StringIO()
     with redirect_stdout(out):
         guard.backup_upsert(fresh, old).explain("formatted")
+    sorts = re.findall(r"\(\d+\) Sort\nInput \[\d+\]: \[(.*?)\]\n", out.getvalue())
+    assert len(sorts) == 1 and not re.search(r"\bid#", sorts[0])
     moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", out.getvalue())
     assert moved and not any(re.search(r"\bid#", columns) for columns in moved)
